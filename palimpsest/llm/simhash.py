@@ -22,12 +22,14 @@ empty table; other columns are ignored. Long texts count whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from palimpsest.llm.common import slices, stored
 
@@ -40,21 +42,28 @@ def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarra
     if not words:
         return np.zeros(0, dtype=np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
+    if len(words) <= size and size > 1:
         return np.array([digest(joined, seed)], dtype=np.uint64)
+    if size == 1:
+        return np.fromiter((digest(w, seed) for w in words), dtype=np.uint64, count=len(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = [0, *ends[:-size].tolist()]
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """The majority of each bit (strictly more than half), as an unsigned number."""
-    ones = np.zeros(64, dtype=np.int64)
+def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The majority of each bit (strictly more than half), as ``words`` unsigned 64-bit
+    numbers; beyond the first 64 bits, each hash is mixed to give more."""
+    ones = np.zeros((words, 64), dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        for k in range(words):
+            if k:
+                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                part = part ^ (part >> np.uint64(29))
+            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,11 +73,26 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [fingerprint(shingle_hashes(t, size, seed)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found).view(np.int64))], ["doc_id", "fp"])
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
+def wide_fingerprints(docs: DataFrame, size: int = 5, words: int = 4, index_words: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``wide`` (fingerprint of the shingles) and ``index`` (of the different
+    words), as arrays of signed longs. No shuffle."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            wide = [fingerprint(shingle_hashes(t, size, seed), words).view(np.int64) for t in texts]
+            index = [fingerprint(np.unique(shingle_hashes(t, 1, seed)), index_words).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.list_(pa.int64())), pa.array(index, pa.list_(pa.int64()))], ["doc_id", "wide", "index"])
+
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("wide", ArrayType(LongType())).add("index", ArrayType(LongType())))
+
+
 def _halves(fp: Column) -> list[Column]:
     """The two halves as keys that differ between halves."""
     low = fp.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -116,11 +140,8 @@ def group(docs: DataFrame, size: int = 3, most: int = 3, doc_id: str = "doc_id",
     """``doc_id, fp, component_id`` per row."""
     prints = stored(fingerprints(docs, size, doc_id=doc_id, text=text), "prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select("fp"), most))
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    named = _named(nodes.withColumnRenamed("fp", "node"), components(links(nodes.select("fp"), most)))
+    return prints.join(named, F.col("fp") == F.col("node")).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -128,7 +149,55 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, size: int = 3, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component (all rows of that id; rows with a null id stay)."""
-    named = group(docs, size, most, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+def wide_links(nodes: DataFrame, most: int) -> DataFrame:
+    """Pairs ``u < v`` of ``node`` whose ``wide`` fingerprints are at most ``most`` bits
+    apart, of those that have a 32-bit segment of ``index`` within one bit of each other."""
+    parts = nodes.select("node", F.posexplode("index").alias("k", "part"))
+    segment = lambda number, value: F.shiftleft(number.cast("long"), 32).bitwiseOR(value)
+    both = F.array(segment(F.col("k") * 2, F.col("part").bitwiseAND(F.lit(0xFFFFFFFF))), segment(F.col("k") * 2 + 1, F.shiftrightunsigned("part", 32)))
+    held = parts.select(F.col("node").alias("v"), F.explode(both).alias("key"))
+    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(32)))
+    probes = held.select(F.col("v").alias("u"), F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    pairs = probes.join(held, (probes["key"] == held["key"]) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
+    a = nodes.select(F.col("node").alias("u"), F.col("wide").alias("a"))
+    b = nodes.select(F.col("node").alias("v"), F.col("wide").alias("b"))
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(a, "u").join(b, "v").where(apart <= most).select("u", "v")
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """How far fingerprints of sets of this Jaccard similarity lie apart: the expected
+    number of bits and a standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+
+
+def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, component_id`` per row, linking texts whose shingle sets are about
+    ``similarity`` alike (Jaccard) or more.
+
+    Shingles tell such texts apart by far more bits than a small ball reaches, but
+    the words that they are made of by few. So the segments that are looked up come
+    from a fingerprint of the different words (six of 32 bits), and the distance
+    that is verified is that of a 256-bit fingerprint of the shingles.
+    """
+    prints = wide_fingerprints(docs, size, doc_id=doc_id, text=text).withColumn("node", F.xxhash64("wide", "index"))
+    prints = stored(prints, "prints")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), F.min("index").alias("index"))
+    nodes = stored(nodes, "nodes")
+    found = components(wide_links(nodes, bits_apart(similarity, 256)))
+    return prints.select("doc_id", "node").join(_named(nodes.select("node", "least"), found), "node").select("doc_id", "component_id")
+
+
+def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, component_id`` from ``node, least`` and the roots of the linked ones."""
+    roots = found.select(F.col("node").alias("_node"), "root")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("node", "root").join(named, "root").select("node", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id names their component of similar texts (all rows of that id; rows with a null id stay)."""
+    named = group_similar(docs, size, similarity, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(named, F.col(doc_id) == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(doc_id).isNull()).drop("_kept")
