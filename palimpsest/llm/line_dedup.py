@@ -14,8 +14,9 @@ stays, since what covers it would have to begin earlier still.
 
 Windows are compared by a 64-bit hash of the lines' 64-bit hashes.
 
-Shuffles: window rows (hash, id, position) twice, once pre-aggregated, and the
-documents once, to meet the positions to cut. A window that a third of all
+Window rows (hash, id, position) are written to the shared folder once, so texts
+are split once, and shuffled twice, once pre-aggregated; documents are shuffled
+once, to meet the positions to cut. A window that a third of all
 documents share is one row a task after pre-aggregation, and its rows in the
 join are a skewed join's, which Spark splits.
 
@@ -31,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import stored
+
 #: One line, with the white space after it.
 LINE = r"(?s).+?(?:[\p{L}\p{N}][.?!][ \t\r\n]+|\n[ \t\r\n]*|\z)"
 BLANK = " \t\r\n"
@@ -43,10 +46,9 @@ def lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40) -> DataFrame:
     """``_id, _row, _pos, _hash`` of every window; ``_row`` is a hash of the text."""
-    cut = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), lines(F.col(text)).alias("_lines")).where(F.size("_lines") > 2)
-    each = F.transform("_lines", lambda s: F.btrim(s, F.lit(BLANK)))
-    hashed = cut.select("_id", "_row", F.transform(each, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("n"))).alias("_each"))
-    many = F.size("_each") - 2
+    each = F.transform(lines(F.col(text)), lambda s: F.btrim(s, F.lit(BLANK)))
+    hashed = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), F.transform(each, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("n"))).alias("_each"))
+    many = F.greatest(F.size("_each") - 2, F.lit(0))
     third = F.slice("_each", F.lit(3), many)
     pairs = F.arrays_zip(F.slice("_each", F.lit(1), many).alias("a"), F.slice("_each", F.lit(2), many).alias("b"), third.alias("c"))
     window = F.transform(
@@ -68,21 +70,20 @@ def later_windows(found: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40) -> DataFrame:
-    """``docs`` with repeated windows cut from ``text``, plus ``n_lines`` and ``n_removed``
-    (replacing columns of those names)."""
-    later = later_windows(windows(docs, doc_id, text, min_chars))
+    """``docs`` with repeated windows cut from ``text``, plus ``n_removed``, the number of
+    lines cut (replacing a column of that name). Only texts with cuts are split again."""
+    later = later_windows(stored(windows(docs, doc_id, text, min_chars), "windows"))
     own = docs.withColumns({"_key_id": F.col(doc_id), "_key_row": F.hash(text)})
     met = own.join(later, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_row") == F.col("_row")), "left")
-    met = met.withColumn("_lines", F.coalesce(lines(F.col(text)), F.array().cast("array<string>")))
+    met = met.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines(F.col(text))))
     # Between the end of one cut window and the start of the next, lines stay.
     n = F.size("_lines")
     ends = F.concat(F.array(F.lit(-3)), F.col("_starts"))
     starts = F.concat(F.col("_starts"), F.array(n))
     kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("_lines", a + 4, F.greatest(F.lit(0), b - a - 3))))
-    met = met.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept))
+    met = met.withColumn("_kept", kept)
     out = {
         text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "")),
-        "n_lines": F.size("_lines").cast("long"),
         "n_removed": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"),
     }
     return met.withColumns(out).drop("_key_id", "_key_row", "_id", "_row", "_starts", "_lines", "_kept")
@@ -100,7 +101,7 @@ wins AS (
 later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM wins) WHERE k > 1),
 covered AS (SELECT doc_id, list(DISTINCT pos + d) AS gone FROM later, (VALUES (0), (1), (2)) AS v(d) GROUP BY doc_id),
 split AS (SELECT doc_id, cut.text AS whole, ls, coalesce(gone, []) AS gone FROM cut LEFT JOIN covered USING (doc_id))
-SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(gone) AS BIGINT) AS n_removed,
+SELECT doc_id, CAST(len(gone) AS BIGINT) AS n_removed,
   CASE WHEN len(gone) = 0 THEN whole ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), '') END AS text
 FROM split
 """
