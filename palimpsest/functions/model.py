@@ -71,7 +71,7 @@ def is_valid(key: str | Column = "key", value: str | Column = "value") -> Column
     return key_ok & (F.coalesce(F.octet_length(value), F.lit(0)) <= MAX_VALUE_BYTES)
 
 
-def validated(log: DataFrame) -> DataFrame:
-    """``log``, failing the job at the first row that may not be written."""
-    broken = F.raise_error(F.concat(F.lit("invalid record at seq "), F.col("seq").cast("string")))
-    return log.withColumn("key", F.when(is_valid(), F.col("key")).otherwise(broken.cast(log.schema["key"].dataType)))
+def validated(log: DataFrame, label: str | None = "seq") -> DataFrame:
+    """``log``, failing the job at the first row that may not be written; ``label`` is the column to name it by."""
+    message = F.concat(F.lit(f"invalid record at {label} "), F.coalesce(F.col(label).cast("string"), F.lit("null"))) if label else F.lit("invalid record")
+    return log.withColumn("key", F.when(is_valid(), F.col("key")).otherwise(F.raise_error(message).cast(log.schema["key"].dataType)))

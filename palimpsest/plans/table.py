@@ -136,7 +136,8 @@ class KvTable:
         if batch_id is not None and batch_id <= self.state.last_batch:
             return 0
         self.flush()
-        numbered = with_seqs(validated(changes.select("key", "value", *order, F.lit(0).alias("seq"))).drop("seq"), order, self._seq)
+        rows = changes.select("key", "value", *(F.col(c).alias(f"_by{i}") for i, c in enumerate(order)))
+        numbered = with_seqs(validated(rows, "_by0" if order else None), tuple(f"_by{i}" for i in range(len(order))), self._seq)
         staged = f"{self.path}/segments/staged-{uuid.uuid4().hex}"
         numbered.select("key", "seq", "value").write.parquet(staged)
         rows = self.spark.read.schema(SEGMENT).parquet(staged)
