@@ -69,6 +69,14 @@ def distinct_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets - offsets[0], coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def ragged(flat: np.ndarray, size: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` of the given sizes, in ``order``, one after another."""
+    sizes = size[order]
+    stops = np.cumsum(sizes)
+    shift = (np.cumsum(size) - size)[order] - (stops - sizes)
+    return flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Memo(dict):
     """A mapping that is emptied when it would outgrow ``most`` entries."""
 

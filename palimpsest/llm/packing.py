@@ -17,6 +17,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, distinct_words, slices
+from palimpsest.llm.common import Memo, distinct_words, ragged, slices
 
 
 class TournamentTree:
@@ -65,37 +66,106 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer that splits at white space and drops it:
-    distinct words are encoded once and remembered."""
+class TextEncoder:
+    """Ids of whole texts by a tokenizer that splits at white space and drops it.
 
-    def __init__(self, vocabulary: str, memo: int = 400_000):
+    Distinct words are encoded once for a batch. Where the tokenizer lower-cases,
+    splits by a pattern and marks word ends in its tokens, plain words (ASCII, Latin
+    letters, common punctuation) are lower-cased and split in Arrow; each pre-token
+    is encoded once, many as one text that the marks take apart again, and
+    remembered. Other words go to the tokenizer by themselves.
+    """
+
+    def __init__(self, vocabulary: str, memo: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.memo = Memo(memo)
-
-    def _fill(self, words: list[str]) -> None:
-        new = self.memo.missing(words)
+        self.known, self.words = Memo(memo), Memo(memo // 4)
+        setup = json.loads(self.tokenizer.to_str())
+        suffix = setup["model"].get("end_of_word_suffix")
+        splits = [p["pattern"]["Regex"] for p in (setup["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split" and p.get("invert")]
+        lowers = any(n["type"] == "Lowercase" for n in (setup["normalizer"] or {}).get("normalizers", []))
+        # White space is ASCII here, of which \s leaves one out in Arrow's engine.
+        self.split = "(" + splits[0].replace(r"[^\s", r"[^\t-\r ") + ")" if suffix and len(splits) == 1 and lowers else None
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        if self.split:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    #: A character that isn't plain (composing, odd-cased, other white space), or the start of a special token.
+    NOT_PLAIN = r"[^\t-\r -~\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]|<\|"
+
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(c.ids, dtype="<u4") for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str], at_once: int = 256) -> None:
+        """Encodes new pre-tokens, some as one text."""
+        if "" in new:  # between the spaces, not a pre-token
+            new.remove("")
+            self.known[""] = b""
+        for at in range(0, len(new), at_once):
+            part = new[at : at + at_once]
+            ids = self._coded([" ".join(part)])[0]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.known.update((w, data[a:b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+            else:
+                self.known.update((w, c.tobytes()) for w, c in zip(part, self._coded(part), strict=True))
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after another, and their numbers."""
+        if self.split:
+            plain = pc.invert(pc.match_substring_regex(words, self.NOT_PLAIN))
+        else:
+            plain = pa.array(np.zeros(len(words), dtype=bool))
+        low = pc.utf8_lower(words.filter(plain))
+        letters = pc.utf8_is_alpha(low)
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low.filter(pc.invert(letters)), self.split or "", r"\1 "))
+        coded = pa.concat_arrays([low.filter(letters), lists.flatten()]).dictionary_encode()
+        parts, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        self._learn(self.known.missing(parts))
+        other = words.filter(pc.invert(plain)).to_pylist()
+        new = self.words.missing(other)
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memo.update((w, np.asarray(c.ids, dtype="<u4").tobytes()) for w, c in zip(part, coded, strict=True))
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+            some = new[at : at + 20_000]
+            self.words.update((w, c.tobytes()) for w, c in zip(some, self._coded(some), strict=True))
+        found = [*map(self.known.__getitem__, parts), *map(self.words.__getitem__, other)]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+
+        # The parts of every word in order: itself, or its pre-tokens.
+        plain, letters = plain.to_numpy(zero_copy_only=False), letters.to_numpy(zero_copy_only=False)
+        simple = plain.copy()
+        simple[plain] = letters
+        split = plain & ~simple
+        counts = np.ones(len(words), dtype=np.int64)
+        counts[split] = np.diff(lists.offsets.to_numpy())
+        order = np.empty(int(counts.sum()), dtype=np.int64)
+        first = np.cumsum(counts) - counts
+        order[first[simple]] = code[: int(simple.sum())]
+        order[first[~plain]] = len(parts) + np.arange(len(other))
+        order[np.repeat(split, counts)] = code[int(simple.sum()) :]
+        return ragged(np.frombuffer(b"".join(found), dtype="<u4"), size, order), np.bincount(np.repeat(np.arange(len(words)), counts), weights=size[order], minlength=len(words)).astype(np.int64)
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, with ``end`` (packed ids) after each, and their lengths."""
         offsets, index, words = distinct_words(pc.ascii_split_whitespace(pc.fill_null(texts, "")))
-        words = words.to_pylist()
-        self._fill(words)
-        packed = list(map(self.memo.__getitem__, words))
-        at = list(map(packed.__getitem__, index.tolist()))
-        return [b"".join(at[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        flat, size = self._ids(words)
+        last = np.frombuffer(end, dtype="<u4")
+        flat, size = np.concatenate((flat, last)), np.append(size, len(last))
+        counts = np.diff(offsets) + 1
+        stops = np.cumsum(counts)
+        order = np.full(int(counts.sum()), len(words), dtype=np.int64)
+        inside = np.ones(len(order), dtype=bool)
+        inside[stops - 1] = False
+        order[inside] = index
+        sizes = np.concatenate(([0], np.cumsum(size[order])))
+        return ragged(flat, size, order), np.diff(sizes[np.concatenate(([0], stops))])
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(vocabulary: str) -> WordEncoder:
-    return WordEncoder(vocabulary)
+def _encoder(vocabulary: str) -> TextEncoder:
+    return TextEncoder(vocabulary)
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,18 +176,16 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 40
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            coded = [c + end for c in _encoder(vocabulary).encode(batch.column("text"))]
-            tokens = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        for batch in slices(batches, "text"):
+            ids, tokens = _encoder(vocabulary).encode(batch.column("text"), end)
             many = -(-tokens // capacity)
-            own = np.repeat(np.arange(len(coded)), many)
+            own = np.repeat(np.arange(len(tokens)), many)
             start = (np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)) * capacity
             length = np.minimum(tokens[own] - start, capacity)
-            ids = [coded[i][4 * s : 4 * (s + n)] for i, s, n in zip(own.tolist(), start.tolist(), length.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(own)), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(tokens[own])],
-                ["doc_id", "start", "length", "ids", "doc_tokens"],
-            )
+            # The pieces lie one after another in the ids.
+            bounds = pa.py_buffer(np.concatenate(([0], 4 * np.cumsum(length))).astype(np.int32))
+            data = pa.Array.from_buffers(pa.binary(), len(own), [None, bounds, pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), pa.array(start), pa.array(length), data, pa.array(tokens[own])], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     return rows.mapInArrow(run, schema)
 
