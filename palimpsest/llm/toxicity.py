@@ -28,7 +28,7 @@ from __future__ import annotations
 import functools
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -188,39 +188,69 @@ class Scorer:
         return 1 / (1 + np.exp(-(self.model.slope * np.log1p(evidence) + self.model.level)))
 
 
-def learn_lexicon(words: list[set[str]], toxic: np.ndarray, least: float = 3, share: float = 0.02, ratio: float = 20, chance: float = 0.01, most: int = 2000) -> tuple[list[str], list[str]]:
-    """(terms, stems) from the word sets of labelled documents.
+@dataclass
+class Bag:
+    """Which words each document of a sample has, as arrays."""
+
+    words: pa.Array  # distinct bare words
+    doc: np.ndarray
+    word: np.ndarray  # of each different (document, word) pair, in this order
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Bag:
+        offsets, index, raw = distinct_words(pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
+        coded = pa.array([bare(w) for w in raw.to_pylist()], pa.string()).dictionary_encode()
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        word = coded.indices.to_numpy(zero_copy_only=False)[index] if len(index) else index
+        pairs = np.unique((doc.astype(np.int64) << 32) | word)
+        return cls(coded.dictionary, pairs >> 32, pairs & 0xFFFFFFFF)
+
+    def copy_weights(self, toxic: np.ndarray) -> np.ndarray:
+        """1 over how many documents (of a kind) have the same three longest words."""
+        length = pc.utf8_length(self.words).to_numpy(zero_copy_only=False)
+        order = np.lexsort((self.word, -length[self.word], self.doc))
+        doc, word = self.doc[order], self.word[order]
+        first = np.ones(len(doc), dtype=bool)
+        first[1:] = doc[1:] != doc[:-1]
+        at = np.arange(len(doc)) - np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))
+        key = np.full((len(toxic), 4), -1, dtype=np.int64)
+        key[:, 3] = toxic
+        for k in range(3):
+            key[doc[at == k], k] = word[at == k]
+        _, inverse, times = np.unique(key, axis=0, return_inverse=True, return_counts=True)
+        return 1 / times[inverse.ravel()]
+
+
+def learn_lexicon(bag: Bag, toxic: np.ndarray, least: float = 3, share: float = 0.02, ratio: float = 20, chance: float = 0.01, longest: int = 12, most: int = 2000) -> tuple[list[str], list[str]]:
+    """(terms, stems) from labelled documents.
 
     An entry must be in ``least`` toxic documents and a ``share`` of them, ``ratio``
     times as common there as elsewhere, and beyond chance for the number of entries
-    tried. Copies of a document count as one between them: documents with the same three
-    longest words share a weight of 1.
+    tried. Copies of a document count as one between them.
     """
-    copies = Counter(keys := [(bool(t), *sorted(w, key=lambda x: (-len(x), x))[:3]) for w, t in zip(words, toxic, strict=True)])
-    weights = [1 / copies[k] for k in keys]
-    of_toxic = sum(w for w, t in zip(weights, toxic, strict=True) if t)
-    of_clean = sum(weights) - of_toxic
-    bad: dict[str, float] = defaultdict(float)
-    good: dict[str, float] = defaultdict(float)
-    seen: set[str] = set()
-    marked = lambda ws: {*(w + "$" for w in ws), *(w[:n] for w in ws for n in range(4, min(13, len(w) + 1)))}  # noqa: E731  whole words end in $
-    for ws, t, weight in zip(words, toxic, weights, strict=True):
-        if t:
-            for e in marked({w for w in ws if len(w) > 3}):
-                bad[e] += weight
-    floor = max(least, share * of_toxic)
-    seen = {e for e, n in bad.items() if n >= floor * (1 - 1e-9)}
-    for ws, t, weight in zip(words, toxic, weights, strict=True):
-        if not t:
-            for e in marked({w for w in ws if len(w) > 3}) & seen:
-                good[e] += weight
-    # By chance alone, one entry in all would be as far from the usual share with a chance of `chance`.
-    usual, bits = of_toxic / (of_toxic + of_clean), math.log(max(1, sum(n >= least for n in bad.values())) / chance)
+    weights = bag.copy_weights(toxic)
+    of_toxic, of_clean = float(weights[toxic].sum()), float(weights[~toxic].sum())
+    length = pc.utf8_length(bag.words).to_numpy(zero_copy_only=False)
+    tried, found = 0, {}
+    floor = max(least, share * of_toxic) - 1e-9
+    for n in (0, *range(4, longest + 1)):  # 0: whole words
+        there = length[bag.word] >= (n or 4)
+        if not there.any():
+            continue
+        cut = pc.utf8_slice_codeunits(bag.words, 0, n).dictionary_encode() if n else bag.words.dictionary_encode()
+        code = cut.indices.to_numpy(zero_copy_only=False)
+        pairs = np.unique((bag.doc[there] << 32) | code[bag.word[there]])
+        doc, entry = pairs >> 32, pairs & 0xFFFFFFFF
+        both = [np.bincount(entry[toxic[doc] == kind], weights=weights[doc[toxic[doc] == kind]], minlength=len(cut.dictionary)) for kind in (True, False)]
+        tried += int((both[0] >= least).sum())
+        for i in np.flatnonzero(both[0] >= floor).tolist():
+            found[cut.dictionary[i].as_py() + ("" if n else "$")] = (float(both[0][i]), float(both[1][i]))
+    usual, bits = of_toxic / (of_toxic + of_clean), math.log(max(1, tried) / chance)
 
     def surprise(b: float, g: float) -> float:
         return b * math.log(b / (b + g) / usual) + (g and g * math.log(g / (b + g) / (1 - usual)))
 
-    far = {e: bad[e] for e in seen if bad[e] / of_toxic >= ratio * good[e] / of_clean and surprise(bad[e], good[e]) >= bits}
+    far = {e: b for e, (b, g) in found.items() if b / of_toxic >= ratio * g / of_clean and surprise(b, g) >= bits}
     longer: dict[str, float] = defaultdict(float)
     for e, n in far.items():
         longer[e[:-1]] = max(longer[e[:-1]], n)
@@ -228,9 +258,9 @@ def learn_lexicon(words: list[set[str]], toxic: np.ndarray, least: float = 3, sh
     stems = [e for e, n in far.items() if not e.endswith("$") and longer[e] < 0.9 * n]
     stems = [e for e in stems if not any(e != s and e.startswith(s) for s in stems)]
     terms = [e[:-1] for e in far if e.endswith("$") and not any(e.startswith(s) for s in stems)]
-    # Words that begin with a listed term are covered by its own entry at most.
-    stems = [s for s in stems if not any(t.startswith(s) and bad[t + "$"] >= 0.5 * bad[s] for t in terms)]
-    by = lambda e: (-bad.get(e + "$", bad.get(e, 0)), e)
+    # A stem that one of the terms makes up the better part of is that term.
+    stems = [s for s in stems if not any(t.startswith(s) and far[t + "$"] >= 0.5 * far[s] for t in terms)]
+    by = lambda e: (-far.get(e + "$", far.get(e, 0)), e)
     return sorted(terms, key=by)[:most], sorted(stems, key=by)[:most]
 
 
@@ -249,15 +279,15 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
 
 
 def fit_model(texts: pa.Array, toxic: np.ndarray) -> Model:
-    lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
-    words = [{bare(w) for w in ws} - {""} for ws in lists.to_pylist()]
     if not toxic.any() or toxic.all():
         return Model()
-    terms, stems = learn_lexicon(words, toxic)
+    bag = Bag.of(texts)
+    terms, stems = learn_lexicon(bag, toxic)
     if not terms and not stems:
         return Model()
     near = Scorer(Model(terms, stems))
-    passed = frozenset(w for ws, t in zip(words, toxic, strict=True) if not t for w in ws if near.automaton.match(w) == CLOSE)
+    clean = np.unique(bag.word[~toxic[bag.doc]])
+    passed = frozenset(w for w in bag.words.take(pa.array(clean)).to_pylist() if near.automaton.match(w) == CLOSE)
     model = Model(terms, stems, passed)
     x = Scorer(model).evidences(texts)
     slope, level = fit_curve(x, toxic.astype(float))
@@ -266,7 +296,7 @@ def fit_model(texts: pa.Array, toxic: np.ndarray) -> Model:
     return Model(terms, stems, passed, slope, min(level, -1e-9))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 4000, most_clean: int = 8000, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from a bounded sample of the labelled documents that aren't held out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_text_crc(F.col("doc_id")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda bad, n: marks.where((F.col("toxic") == 1) == F.lit(bad)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
