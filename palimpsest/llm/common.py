@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -44,7 +45,16 @@ def id_text_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def bounded_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """``df``, in a session that sends Python batches of about ``most`` bytes at most, so
+    that long texts don't add up to large ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.match(r"-?\d+", conf.get(key))[0]) <= most:
+        conf.set(key, str(most))
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` has about ``most`` bytes in each
     (one row at least: a longer text stays whole)."""
     for batch in batches:
@@ -57,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
+            pa.default_memory_pool().release_unused()
             at = to
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, distinct_words, ragged, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, ragged, slices
 
 
 class TournamentTree:
@@ -171,7 +171,7 @@ def _encoder(vocabulary: str) -> TextEncoder:
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece of at most ``capacity`` ids: ``doc_id``, ``start``, ``length``, ``ids``
     (packed little-endian unsigned 32-bit), ``doc_tokens``. No shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = rows.select("doc_id").schema.add("start", "long").add("length", "long").add("ids", "binary").add("doc_tokens", "long")
     end = end_id.to_bytes(4, "little")
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import bounded_batches, slices
 
 #: The characters that the base rules count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -237,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, doc_id: str = "doc
 
 def judge(docs: DataFrame, chain: Chain, least_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, the base counts, ``base_failed`` and ``kept`` per row."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = rows.select("doc_id").schema
     for c in names:
@@ -245,7 +245,7 @@ def judge(docs: DataFrame, chain: Chain, least_share: float = 0.5, doc_id: str =
     schema = schema.add("base_failed", "boolean").add("kept", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             found = shapes(batch.column("text"))
             marks = verdict(chain, found, least_share)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(found.counts[c]) for c in names), *map(pa.array, marks)], ["doc_id", *names, "base_failed", "kept"])
@@ -257,7 +257,7 @@ def good_documents(docs: DataFrame, chain: Chain, least_share: float = 0.5, text
     """The rows of ``docs`` that are kept, whole and in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 4 << 20):
             yield batch.filter(pa.array(verdict(chain, shapes(batch.column(text)), least_share)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

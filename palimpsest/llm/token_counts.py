@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, distinct_words, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, slices
 
 SPACE_MARK = "▁"
 _NONE = np.iinfo(np.int32).max
@@ -184,7 +184,7 @@ def _counter(model_path: str) -> PieceCounter:
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_tokens`` and ``over_limit``. No shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = rows.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, distinct_words, id_text_crc, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, id_text_crc, slices
 
 NONE, EXACT, CLOSE = 0, 1, 2
 QUOTES = frozenset("\"“”„«»‹›")
@@ -315,7 +315,7 @@ def _scorer(key: tuple) -> Scorer:
 
 def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row. No shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     key = (tuple(model.terms), tuple(model.stems), model.passed, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,6 +339,6 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             yield batch.filter(pa.array(keep))
 
     key = (tuple(model.terms), tuple(model.stems), model.passed, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
