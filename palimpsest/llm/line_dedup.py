@@ -69,24 +69,25 @@ def later_windows(found: DataFrame) -> DataFrame:
     return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_starts"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40) -> DataFrame:
-    """``docs`` with repeated windows cut from ``text``, plus ``n_removed``, the number of
-    lines cut (replacing a column of that name). Only texts with cuts are split again."""
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, removed: str = "n_removed") -> DataFrame:
+    """``docs`` with repeated windows cut from ``text``, plus ``removed``, the number of
+    lines cut (replacing a column of that name). Only texts with cuts are split again.
+    No other column may begin with ``__cut_``."""
     later = later_windows(stored(windows(docs, doc_id, text, min_chars), "windows"))
-    own = docs.withColumns({"_key_id": F.col(doc_id), "_key_row": F.hash(text)})
-    met = own.join(later, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_row") == F.col("_row")), "left")
-    met = met.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines(F.col(text))))
+    later = later.select(F.col("_id").alias("__cut_id"), F.col("_row").alias("__cut_row"), F.col("_starts").alias("__cut_starts"))
+    own = docs.withColumn("__cut_hash", F.hash(text))
+    met = own.join(later, F.col(doc_id).eqNullSafe(F.col("__cut_id")) & (F.col("__cut_hash") == F.col("__cut_row")), "left")
+    met = met.withColumn("__cut_lines", F.when(F.col("__cut_starts").isNotNull(), lines(F.col(text))))
     # Between the end of one cut window and the start of the next, lines stay.
-    n = F.size("_lines")
-    ends = F.concat(F.array(F.lit(-3)), F.col("_starts"))
-    starts = F.concat(F.col("_starts"), F.array(n))
-    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("_lines", a + 4, F.greatest(F.lit(0), b - a - 3))))
-    met = met.withColumn("_kept", kept)
+    ends = F.concat(F.array(F.lit(-3)), F.col("__cut_starts"))
+    starts = F.concat(F.col("__cut_starts"), F.array(F.size("__cut_lines")))
+    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("__cut_lines", a + 4, F.greatest(F.lit(0), b - a - 3))))
+    met = met.withColumn("__cut_kept", kept)
     out = {
-        text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "")),
-        "n_removed": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"),
+        text: F.when(F.col("__cut_kept").isNull(), F.col(text)).otherwise(F.array_join("__cut_kept", "")),
+        removed: F.coalesce(F.size("__cut_lines") - F.size("__cut_kept"), F.lit(0)).cast("long"),
     }
-    return met.withColumns(out).drop("_key_id", "_key_row", "_id", "_row", "_starts", "_lines", "_kept")
+    return met.withColumns(out).drop(*(f"__cut_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept")))
 
 
 #: The same over the whole table in DuckDB, comparing the lines themselves.

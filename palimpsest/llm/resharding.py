@@ -12,12 +12,14 @@ what goes to each receiver. A whole block goes where its stretch goes; in the
 block that a cut falls into, a document goes where its middle lies. So a shard
 is off its capacity by about one small document per cut at most.
 
-Only (id, size, checksum, shard) rows are shuffled, once, by block; blocks are
-one for each ``docs_a_block`` documents of the table, in every old shard.
+Only (id, size, checksum, shard) rows are shuffled, by text to count equal ones and
+by block; there is a block for each ``docs_a_block`` documents of the table, in every
+old shard. Equal texts share a block; more than ``together`` of them are spread over
+all blocks of their shard.
 
 Defined results: a null text counts as empty (size 16); repeated rows and rows
-with null ids are rows like any other; equal texts stay in one shard unless that
-shard's surplus is cut among them; an empty table gives an empty table; other
+with null ids are rows like any other; up to ``together`` equal texts share a
+shard unless a cut falls among them; an empty table gives an empty table; other
 columns are ignored by :func:`reshard` and written by :func:`rewrite`.
 """
 
@@ -32,6 +34,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import shared_path, stored
 
 
+#: Up to so many groups of equal texts, their keys are sent to every task (they are counted first).
+BROADCAST_GROUPS = 100_000
+
+
 class FlowNetwork:
     """A directed network with integer capacities and costs (no negative ones)."""
 
@@ -110,7 +116,7 @@ def transfers(old_sizes: Sequence[int], capacities: Sequence[int]) -> list[list[
     return [[(j, sent[i, j]) for j in sorted(range(new), key=lambda j: (j != i, j)) if sent[i, j]] for i in range(old)]
 
 
-def reshard(docs: DataFrame, shards: int = 40, old_shards: int | None = None, docs_a_block: int = 1600, most_blocks: int = 4096, overhead: int = 16, doc_id: str = "doc_id", text: str = "text", old_shard: str | None = None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 40, old_shards: int | None = None, docs_a_block: int = 1600, most_blocks: int = 4096, together: int = 200, overhead: int = 16, doc_id: str = "doc_id", text: str = "text", old_shard: str | None = None) -> DataFrame:
     """Per row: ``doc_id, size, text_crc32, old_shard, shard, slot``.
 
     ``old_shard`` names a column with shard numbers below ``old_shards``; without it
@@ -126,7 +132,12 @@ def reshard(docs: DataFrame, shards: int = 40, old_shards: int | None = None, do
         (F.octet_length(words) + overhead).cast("long").alias("size"),
         F.crc32(words.cast("binary")).alias("text_crc32"),
         lies.cast("int").alias("old_shard"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
+    )
+    many = rows.groupBy("old_shard", "text_crc32").count().where(F.col("count") > together).select("old_shard", "text_crc32", F.lit(True).alias("_many"))
+    few = many.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    rows = rows.join(F.broadcast(many) if few else many, ["old_shard", "text_crc32"], "left")
+    lot = F.when(F.col("_many"), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("text_crc32"))
+    rows = rows.withColumn("block", F.pmod(lot, F.lit(blocks)).cast("int")).drop("_many")
     rows = stored(rows, "rows")
     sizes = {(r["old_shard"], r["block"]): r["size"] for r in rows.groupBy("old_shard", "block").agg(F.sum("size").alias("size")).collect()}
     totals = [sum(sizes.get((i, b), 0) for b in range(blocks)) for i in range(old_shards)]
@@ -155,12 +166,12 @@ def reshard(docs: DataFrame, shards: int = 40, old_shards: int | None = None, do
     ends = spark.createDataFrame([(i, b, sorted(v)) for (i, b), v in by_block.items()], "old_shard int, block int, ends array<struct<stop: bigint, shard: int>>")
 
     # Bounded by old_shards * most_blocks rows plus one for each cut.
-    line = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "doc_id", "text_crc32")
+    line = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "text_crc32", "doc_id")
     met = rows.join(F.broadcast(ends), ["old_shard", "block"])
     placed = met.withColumn("_middle", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
     ahead = F.filter("ends", lambda e: e["stop"] > F.col("_middle"))
     placed = placed.withColumn("shard", F.coalesce(ahead[0]["shard"], F.element_at("ends", -1)["shard"]))
-    own = Window.partitionBy("old_shard", "block", "shard").orderBy(F.desc("size"), "doc_id", "text_crc32")
+    own = Window.partitionBy("old_shard", "block", "shard").orderBy(F.desc("size"), "text_crc32", "doc_id")
     placed = placed.withColumn("_slot", F.row_number().over(own) - 1)
     placed = stored(placed.select("doc_id", "size", "text_crc32", "old_shard", "block", "shard", "_slot"), "placed")
 
@@ -183,15 +194,18 @@ def affected_shards(moved: DataFrame) -> list[int]:
 def rewrite(docs: DataFrame, moved: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
     """Writes the affected shards of ``docs`` as Parquet, a folder ``shard=N`` each, in slot order; the path.
 
-    Rows are told apart by id, size and checksum.
+    Rows are told apart by id and checksum, and repeats by their number; a column of the
+    documents named ``shard`` gives way to the folder's.
     """
     path = path or shared_path(docs.sparkSession, "shards")
     shards = affected_shards(moved)
     words = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    own = docs.withColumns({"_id": F.col(doc_id), "_crc": F.crc32(words.cast("binary"))})
-    place = moved.where(F.col("shard").isin(shards)).select(F.col("doc_id").alias("_to"), F.col("text_crc32").alias("_sum"), F.col("shard"), F.col("slot"))
-    place = place.withColumn("_n", F.row_number().over(Window.partitionBy("_to", "_sum").orderBy("shard", "slot")))
-    own = own.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(0))))
-    met = own.join(place, F.col("_id").eqNullSafe(F.col("_to")) & (F.col("_crc") == F.col("_sum")) & (F.col("_m") == F.col("_n")))
-    met.drop("_id", "_crc", "_to", "_sum", "_n", "_m").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    own = docs.withColumn("__at_crc", F.crc32(words.cast("binary")))
+    own = own.withColumn("__at_n", F.row_number().over(Window.partitionBy(doc_id, "__at_crc").orderBy(F.lit(0))))
+    place = moved.where(F.col("shard").isin(shards)).select(F.col("doc_id").alias("__at_id"), F.col("text_crc32").alias("__at_sum"), F.col("shard").alias("__at_shard"), F.col("slot").alias("__at_slot"))
+    place = place.withColumn("__at_m", F.row_number().over(Window.partitionBy("__at_id", "__at_sum").orderBy("__at_shard", "__at_slot")))
+    met = own.join(place, F.col(doc_id).eqNullSafe(F.col("__at_id")) & (F.col("__at_crc") == F.col("__at_sum")) & (F.col("__at_n") == F.col("__at_m")))
+    ordered = met.repartition("__at_shard").sortWithinPartitions("__at_shard", "__at_slot")
+    kept = ordered.drop("shard", "__at_crc", "__at_id", "__at_sum", "__at_n", "__at_m", "__at_slot").withColumnRenamed("__at_shard", "shard")
+    kept.write.partitionBy("shard").parquet(path)
     return path

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import slices, stored
+from palimpsest.llm.common import bounded_batches, slices, stored
 
 
 def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -68,7 +68,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp`` (the fingerprint's bits as a signed long). No shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -78,10 +78,10 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
-def wide_fingerprints(docs: DataFrame, size: int = 5, words: int = 4, index_words: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def wide_fingerprints(docs: DataFrame, size: int = 5, words: int = 4, index_words: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``wide`` (fingerprint of the shingles) and ``index`` (of the different
     words), as arrays of signed longs. No shuffle."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -167,9 +167,9 @@ def wide_links(nodes: DataFrame, most: int) -> DataFrame:
 
 def bits_apart(similarity: float, bits: int) -> int:
     """How far fingerprints of sets of this Jaccard similarity lie apart: the expected
-    number of bits and a standard deviation more."""
+    number of bits and two standard deviations more."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
 def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,7 +178,7 @@ def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_i
 
     Shingles tell such texts apart by far more bits than a small ball reaches, but
     the words that they are made of by few. So the segments that are looked up come
-    from a fingerprint of the different words (six of 32 bits), and the distance
+    from a fingerprint of the different words (eight of 32 bits), and the distance
     that is verified is that of a 256-bit fingerprint of the shingles.
     """
     prints = wide_fingerprints(docs, size, doc_id=doc_id, text=text).withColumn("node", F.xxhash64("wide", "index"))
@@ -198,6 +198,7 @@ def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component of similar texts (all rows of that id; rows with a null id stay)."""
-    named = group_similar(docs, size, similarity, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(named, F.col(doc_id) == F.col("_kept"), "left").where(F.col("_kept").isNotNull() | F.col(doc_id).isNull()).drop("_kept")
+    """The rows of ``docs`` whose id names their component of similar texts (all rows of that id; rows with a null id stay).
+    No column may be called ``__kept_id``."""
+    named = group_similar(docs, size, similarity, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
+    return docs.join(named, F.col(doc_id) == F.col("__kept_id"), "left").where(F.col("__kept_id").isNotNull() | F.col(doc_id).isNull()).drop("__kept_id")
