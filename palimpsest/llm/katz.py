@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import id_text_crc, shared_path, slices, stored
+from palimpsest.llm.common import bounded_batches, id_text_crc, shared_path, slices, stored
 
 #: Counts up to this one are discounted.
 K = 5
@@ -143,7 +143,7 @@ def _cuts(part: np.ndarray, parts: int) -> np.ndarray:
 
 def encode(docs: DataFrame, held: Column, chunk_bytes: int, doc_id: str, text: str) -> DataFrame:
     """The chunks, as a bucketed external table in the shared folder."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (~held).alias("train"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), (~held).alias("train"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"chunk bigint, doc_ids array<{kind}>, lengths binary, train binary, tokens binary, words binary, counts binary, n_train bigint, docs_train bigint"
 
@@ -187,7 +187,8 @@ def encode(docs: DataFrame, held: Column, chunk_bytes: int, doc_id: str, text: s
     spark = docs.sparkSession
     name = f"palimpsest_chunks_{uuid.uuid4().hex}"
     chunks = rows.mapInArrow(run, schema)
-    buckets = max(8, min(100_000, rows.rdd.getNumPartitions()))
+    # With fewer buckets than shuffle partitions, joins would shuffle the chunks after all.
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, rows.rdd.getNumPartitions()))
     chunks.write.bucketBy(buckets, "chunk").option("path", shared_path(spark, "chunks")).saveAsTable(name)
     return spark.table(name)
 
@@ -356,7 +357,7 @@ def _next_walk(walk: Walk, replies: list, below: Level, level: Level, start_coun
 class KatzModel:
     """Counts of every order for the chunks of one corpus, in partitioned tables."""
 
-    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 32 << 20, tokens_a_part: int = 3_000_000, least_parts: int = 48, doc_id: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 8 << 20, tokens_a_part: int = 2_000_000, least_parts: int = 48, doc_id: str = "doc_id", text: str = "text"):
         self.chunks = encode(docs, held, chunk_bytes, doc_id, text)
         self.kind = self.chunks.schema["doc_ids"].dataType.elementType.simpleString()
         n, d = self.chunks.agg(F.sum("n_train"), F.sum("docs_train")).first()
@@ -416,7 +417,7 @@ class KatzModel:
 
     def _walked(self, run, schema: str) -> DataFrame:  # noqa: ANN001
         """``run(row, walk)`` over all chunks, walked up to the orders that are known."""
-        rows = self.chunks
+        rows = self.chunks.select("chunk", "doc_ids", "lengths", "train", "tokens")
         for k, answers in enumerate(self.tables):
             mine = answers.where(F.col("kind") == REPLY).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("p", "parts"))).alias(f"replies{k}"))
             rows = rows.join(mine.hint("shuffle_hash"), "chunk")
@@ -426,11 +427,14 @@ class KatzModel:
             for batch in batches:
                 for i in range(batch.num_rows):
                     one = batch.slice(i, 1)
-                    row = {c: one.column(c)[0].as_py() for c in one.schema.names if c not in ("doc_ids", "words")}
+                    row = {c: one.column(c)[0].as_py() for c in one.schema.names if c != "doc_ids"}
                     walk = _first_walk(row, row["replies0"], levels[0])
                     for k in range(1, len(levels)):
                         walk = _next_walk(walk, row[f"replies{k}"], levels[k - 1], levels[k], starts, parts)
-                    yield run(one, row, walk)
+                    out = run(one, row, walk)
+                    del row, walk, one
+                    yield out
+                    pa.default_memory_pool().release_unused()
 
         return rows.mapInArrow(each, schema)
 
