@@ -76,7 +76,7 @@ class TextEncoder:
     remembered. Other words go to the tokenizer by themselves.
     """
 
-    def __init__(self, vocabulary: str, memo: int = 600_000):
+    def __init__(self, vocabulary: str, memo: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -219,7 +219,7 @@ def verdict(chain: Chain, found: Shapes, least_share: float, least_words: int =
     return failed, ~failed & (content_share(chain, found) >= least_share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2000, doc_id: str = "doc_id", text: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """A chain from ``most`` labelled documents of either kind at most, the first by a hash of the id."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     first = lambda good: marks.where((F.col("quality") == 1) == F.lit(good)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)

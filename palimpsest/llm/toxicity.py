@@ -145,7 +145,7 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model, memo: int = 400_000):
+    def __init__(self, model: Model, memo: int = 200_000):
         self.model = model
         self.automaton = LexiconAutomaton(model.terms, model.stems)
         self.memo = Memo(memo)
@@ -296,7 +296,7 @@ def fit_model(texts: pa.Array, toxic: np.ndarray) -> Model:
     return Model(terms, stems, passed, slope, min(level, -1e-9))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, doc_id: str = "doc_id", text: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model from a bounded sample of the labelled documents that aren't held out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_text_crc(F.col("doc_id")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda bad, n: marks.where((F.col("toxic") == 1) == F.lit(bad)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
