@@ -24,7 +24,9 @@ than an eighth of a partition's share of the tokens) is spread over all
 partitions, and its sums, of which there are few by that bound, go to all chunks.
 
 Words are told apart by 64-bit hashes. ``order`` is a parameter: 2 in the
-registered query.
+registered query. A chunk writes an array for each partition, so ``chunk_bytes`` and
+``tokens_a_part`` should grow with executors' memory where a corpus has so many of
+both that the arrays get short (terabytes, at the sizes given).
 
 Defined results: a null or empty text is the end token alone; a null id trains;
 repeated rows count each; without training documents every token is unknown, of
@@ -357,7 +359,7 @@ def _next_walk(walk: Walk, replies: list, below: Level, level: Level, start_coun
 class KatzModel:
     """Counts of every order for the chunks of one corpus, in partitioned tables."""
 
-    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 8 << 20, tokens_a_part: int = 2_000_000, least_parts: int = 48, doc_id: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 8 << 20, tokens_a_part: int = 1_000_000, least_parts: int = 48, doc_id: str = "doc_id", text: str = "text"):
         self.chunks = encode(docs, held, chunk_bytes, doc_id, text)
         self.kind = self.chunks.schema["doc_ids"].dataType.elementType.simpleString()
         n, d = self.chunks.agg(F.sum("n_train"), F.sum("docs_train")).first()
