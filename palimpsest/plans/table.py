@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.model import CHANGE_LOG, DEFAULT_FLUSH_BYTES, DEFAULT_L0_TRIGGER, MAX_SEQ, SEGMENT, Conflict, Corrupt, KvError, check_key, check_value, validated
 from palimpsest.operators import lww, read
+from palimpsest.shipping import ship
 from palimpsest.sources import manifest_text, wal
 from palimpsest.sources.sst import read_segments
 
@@ -51,6 +52,7 @@ class KvTable:
     """Opens or creates the table in a folder. Use as a context manager to flush at the end."""
 
     def __init__(self, spark: SparkSession, path: str, flush_threshold: int = DEFAULT_FLUSH_BYTES, l0_trigger: int = DEFAULT_L0_TRIGGER, durable: bool = True, gc: str = "full"):
+        ship(spark)
         self.spark, self.path = spark, path.rstrip("/")
         self.flush_threshold, self.l0_trigger, self.durable, self.gc = flush_threshold, l0_trigger, durable, gc
         self._buffer: dict[bytes, tuple[int, bytes | None]] = {}

@@ -17,7 +17,10 @@ from palimpsest.functions import model, scalar
 from palimpsest.operators import lww, read, stats
 from palimpsest.plans.table import KvTable, with_seqs
 from palimpsest.shell import Shell, parsed
+from palimpsest.shipping import ship
+from palimpsest.sources import sst, wal
 from palimpsest.sources.manifest_text import parsed_lines
+from palimpsest.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,9 +52,23 @@ def segments(log: DataFrame) -> DataFrame:
     return log.groupBy("epoch", "key").agg(best.alias("v")).select("epoch", "key", "v.seq", "v.value")
 
 
+def _new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest-checkpoint"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("seq").cast("long").alias("seq"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -358,8 +375,7 @@ def kv_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def kv_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the shell prints for a script, on a table of its own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest-checkpoint"
-    with KvTable(spark, f"{base.rstrip('/')}/shell-{uuid.uuid4().hex}") as table:
+    with KvTable(spark, _new_path(spark, "shell")) as table:
         said = list(Shell(table).run_all(_COMMANDS))
     return spark.createDataFrame(list(enumerate(said)), "line_no int, line string")
 
@@ -367,12 +383,44 @@ def kv_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_L}, {_NOW} SELECT key, value FROM cur WHERE value IS NOT NULL")
 def kv_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log appended to a table in three batches, compacted, and scanned from its segments."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest-checkpoint"
     log = change_log(spark, sf_dir)
     third = F.ceil(F.col("seq") * 3 / F.lit(log.agg(F.max("seq")).first()[0]))
-    table = KvTable(spark, f"{base.rstrip('/')}/table-{uuid.uuid4().hex}", l0_trigger=0)
+    table = KvTable(spark, _new_path(spark, "table"), l0_trigger=0)
     for i in (1, 2, 3):
         table.append(log.where(third == i).select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.col("seq").alias("at")), "at")
     table.compact()
     return table.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
+
+
+@query(f"WITH {_L} SELECT seq, key, value FROM L")
+def kv_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as framed log files and read back."""
+    path = _new_path(spark, "log")
+    wal.write_log(change_log(spark, sf_dir), path)
+    return _text(wal.read_log(spark, path))
+
+
+def _segment_round_trip(version: int) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _new_path(spark, "segments")
+        sst.write_segments(lww.newest(change_log(spark, sf_dir)), path, version)
+        return _text(sst.read_segments(spark, path))
+
+    run.__name__ = f"kv_segment_round_trip_v{version}"
+    return run
+
+
+for _version in (1, 2, 3):
+    query(f"WITH {_L}, {_NOW} SELECT seq, key, value FROM cur")(_segment_round_trip(_version))
+
+
+@query(f"WITH {_L}, {_NOW} SELECT key, value FROM cur WHERE value IS NOT NULL")
+def kv_stream_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log streamed file by file into a table, each micro-batch a segment, and scanned."""
+    source, log = _new_path(spark, "stream"), change_log(spark, sf_dir)
+    rows = log.select("seq", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    rows.repartitionByRange(3, "seq").write.parquet(source)
+    table = KvTable(spark, _new_path(spark, "table"))
+    upsert.fold_batches(spark, source, rows.schema, table, _new_path(spark, "marks"))
+    return table.scan().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))

@@ -21,6 +21,8 @@ from pyspark.sql.types import StructType
 
 from palimpsest.functions.bloom import BloomFilter
 from palimpsest.functions.model import BLOOM_FPR, MAX_KEY_BYTES, MAX_VALUE_BYTES, Corrupt
+from palimpsest.shipping import ship
+from palimpsest.sources.wal import put_file
 
 # Fixed values of the format: magic numbers by version, and footer sizes.
 MAGIC = {1: 0x53535431, 2: 0x53535432, 3: 0x53535433}
@@ -154,6 +156,7 @@ def read_segments(spark: SparkSession, path: str, key: bytes | None = None) -> D
     """``file, version, max_seq, key, seq, value`` of the ``.sst`` files in a folder, a file
     to a task, from any file system that Spark reads. ``max_seq`` comes from the footer
     (version 3) or is null."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +177,25 @@ def read_segments(spark: SparkSession, path: str, key: bytes | None = None) -> D
     return parsed.select("file", "version", wide("max_seq"), "key", wide("seq"), "value")
 
 
+def write_segments(rows: DataFrame, path: str, version: int = 3) -> list[str]:
+    """Writes ``key, seq, value`` rows (each key once) as segment files over disjoint key
+    ranges, one a partition; their names. Tasks encode; the driver stores one file at a time."""
+    ship(rows.sparkSession)
+    binary = rows.select(F.col("key").cast("binary").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "seq", "value")), strict=True)]
+        if held:
+            yield pa.RecordBatch.from_pydict({"max_seq": [max(r[1] for r in held)], "first": [held[0][0]], "content": [encode(held, version)]})
+
+    files = binary.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "max_seq bigint, first binary, content binary")
+    names = []
+    for i, r in enumerate(files.toLocalIterator()):
+        names.append(f"sst-{r['max_seq']:020d}-{i}.sst")
+        put_file(rows.sparkSession, f"{path}/{names[-1]}", bytes(r["content"]))
+    return names
+
+
 def list_segments(spark: SparkSession, path: str) -> DataFrame:
     """``name, length`` of the ``.sst`` files in a folder, newest name first (for folders without a manifest)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(path)

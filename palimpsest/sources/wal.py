@@ -21,6 +21,7 @@ from pyspark.sql.types import StructType
 
 from palimpsest.functions.model import MAX_LOG_RECORD_BYTES, Corrupt
 from palimpsest.functions.scalar import log_frame
+from palimpsest.shipping import ship
 
 Record = tuple[int, bytes, bytes | None]
 _HEAD = struct.Struct("<QBI")
@@ -75,6 +76,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     """``file, seq, key, value`` of the log files at a path, a file to a task. Any file
     system that Spark reads will do. Sequence numbers are DECIMAL(20): the format has
     unsigned ones."""
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,12 +92,16 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 def write_log(log: DataFrame, path: str) -> None:
     """Appends a change log to a folder of log files, one a partition, each in seq order.
     The bytes are made in SQL; Python only joins them."""
-    frames = log.sortWithinPartitions("seq").select(F.col("seq"), log_frame(F.col("seq"), F.col("key"), F.col("value")).alias("frame"))
-    files = frames.groupBy(F.spark_partition_id().alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "frame"))).alias("all"))
-    whole = F.aggregate("all", F.lit(b""), lambda s, x: F.concat(s, x["frame"]))
-    spark = log.sparkSession
-    for row in files.select("part", whole.alias("content")).toLocalIterator():
-        put_file(spark, f"{path}/part-{row['part']:05d}.wal", bytes(row["content"]))
+    ship(log.sparkSession)
+    frames = log.sortWithinPartitions("seq").select(log_frame(F.col("seq"), F.col("key"), F.col("value")).alias("frame"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = b"".join(f for batch in batches for f in batch.column("frame").to_pylist())
+        if whole:
+            yield pa.RecordBatch.from_pydict({"content": [whole]})
+
+    for i, row in enumerate(frames.mapInArrow(run, "content binary").toLocalIterator()):
+        put_file(log.sparkSession, f"{path}/part-{i:05d}.wal", bytes(row["content"]))
 
 
 def put_file(spark: SparkSession, path: str, data: bytes) -> None:

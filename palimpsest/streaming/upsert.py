@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import StructType
 
 from palimpsest.plans.table import KvTable
+from palimpsest.shipping import ship
 
 STATE = "seq bigint, value binary"
 CURRENT = "key binary, seq bigint, value binary"
@@ -63,6 +64,7 @@ class Upsert(StatefulProcessor):
 def upsert_state(changes: DataFrame) -> DataFrame:
     """A stream of the newest versions of changed keys, from a stream of ``key, seq, value``.
     Needs the RocksDB state store."""
+    ship(changes.sparkSession)
     return changes.groupBy("key").transformWithStateInPandas(statefulProcessor=Upsert(), outputStructType=CURRENT, outputMode="Update", timeMode="None")
 
 

@@ -123,6 +123,16 @@ def test_segments_through_spark(spark, tmp_path):
     assert rows.count() == 12 and rows.where(F.col("key") == F.lit(b"c")).count() == 3
 
 
+def test_segments_written_by_spark(spark, tmp_path):
+    df = spark.createDataFrame([(bytearray(b"k%03d" % i), i, bytearray(b"v") if i % 4 else None) for i in range(200)], "key binary, seq bigint, value binary")
+    names = sst.write_segments(df.repartition(5), f"file://{tmp_path}/out")
+    assert all((tmp_path / "out" / n).exists() for n in names)
+    back = sst.read_segments(spark, f"{tmp_path}/out").select("key", F.col("seq").cast("long"), "value")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="ascend"):
+        sst.write_segments(df.union(df), f"file://{tmp_path}/bad")
+
+
 def test_fnv_vectors(spark):
     assert int(scalar.fnv1a_numpy([b"a"])[0]) == 0xAF63DC4C8601EC8C
     keys = [b"", b"a", b"foobar", bytes(range(256))]
@@ -174,6 +184,10 @@ def test_text_manifest(spark, tmp_path):
     (tmp_path / "MANIFEST").write_text(text)
     assert manifest_text.read_manifest(spark, str(tmp_path / "MANIFEST")) == entries
     assert manifest_text.read_manifest(spark, str(tmp_path / "none")) == []
+    for _ in range(2):
+        entries = entries[1:]
+        manifest_text.write_manifest(spark, f"file://{tmp_path}/MANIFEST", entries)
+        assert manifest_text.read_manifest(spark, str(tmp_path / "MANIFEST")) == entries
 
 
 def test_text_and_saturation(spark):
