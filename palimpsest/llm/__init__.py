@@ -1,5 +1,5 @@
 """Operators for preparing language-model training data.
 
-Self-contained: nothing else in the library imports this subpackage, and it
-imports nothing from the rest of the library.
+Nothing else in the library imports this subpackage; it imports only what ships
+the package to executors.
 """

@@ -12,11 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shipping import ship
+
 #: The ASCII white space that separates words in every contract: space, \t \n \v \f \r.
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,7 +50,8 @@ def id_text_crc(doc_id: Column) -> Column:
 
 def bounded_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     """``df``, in a session that sends Python batches of about ``most`` bytes at most, so
-    that long texts don't add up to large ones."""
+    that long texts don't add up to large ones, and whose executors have this package."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(re.match(r"-?\d+", conf.get(key))[0]) <= most:
         conf.set(key, str(most))
