@@ -106,3 +106,16 @@ class Memo(dict):
             self.clear()
             new = list(dict.fromkeys(keys))
         return new
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -> pa.Table:
+    """``id, text, label`` for a bounded ``sample`` of ``id, label`` rows (which is broadcast),
+    in order of ids. Of documents that share an id, the smallest text."""
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    found = rows.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return found.toArrow().sort_by("id").combine_chunks()
+
+
+def one_array(column: pa.ChunkedArray) -> pa.Array:
+    """A column of strings as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())

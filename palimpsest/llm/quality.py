@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, slices
+from palimpsest.llm.common import bounded_batches, labelled_texts, one_array, slices
 
 #: The characters that the base rules count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -223,14 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, doc_id: str = "doc
     """A chain from ``most`` labelled documents of either kind at most, the first by a hash of the id."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     first = lambda good: marks.where((F.col("quality") == 1) == F.lit(good)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = first(True).union(first(False)).select(F.col("doc_id").alias("_label_id"), F.col("quality").alias("_good"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    # Broadcast: 2 * most rows at most.
-    got = rows.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_text", "_good").toArrow()
-    good = np.asarray(got["_good"].to_pylist(), dtype=np.int64) == 1
+    sample = first(True).union(first(False)).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    got = labelled_texts(docs, sample, doc_id, text)
+    good = np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1
     if not good.any() or good.all():
         return Chain.all_content()
-    found = shapes(pa.concat_arrays(got["_text"].chunks))
+    found = shapes(one_array(got["text"]))
     lengths = _runs(found.line_doc, found.n_docs)
     return fit_chain(found.features, lengths[lengths > 0], good[found.line_doc].astype(np.int64))
 

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, bounded_batches, distinct_words, id_text_crc, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, id_text_crc, labelled_texts, one_array, slices
 
 NONE, EXACT, CLOSE = 0, 1, 2
 QUOTES = frozenset("\"“”„«»‹›")
@@ -300,12 +300,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean:
     """A model from a bounded sample of the labelled documents that aren't held out."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_text_crc(F.col("doc_id")) % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = lambda bad, n: marks.where((F.col("toxic") == 1) == F.lit(bad)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    sample = first(True, most_toxic).union(first(False, most_clean)).select(F.col("doc_id").alias("_label_id"), F.col("toxic").alias("_toxic"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    # Broadcast: most_toxic + most_clean rows at most.
-    got = rows.join(F.broadcast(sample), F.col("_id") == F.col("_label_id")).select("_text", "_toxic").toArrow()
-    toxic = np.asarray(got["_toxic"].to_pylist(), dtype=np.int64) == 1
-    return fit_model(pa.concat_arrays(got["_text"].chunks) if got.num_rows else pa.array([], pa.string()), toxic)
+    sample = first(True, most_toxic).union(first(False, most_clean)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    got = labelled_texts(docs, sample, doc_id, text)
+    return fit_model(one_array(got["text"]), np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1)
 
 
 @functools.lru_cache(maxsize=4)
