@@ -359,7 +359,7 @@ def _next_walk(walk: Walk, replies: list, below: Level, level: Level, start_coun
 class KatzModel:
     """Counts of every order for the chunks of one corpus, in partitioned tables."""
 
-    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 8 << 20, tokens_a_part: int = 1_000_000, least_parts: int = 48, doc_id: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, held: Column, order: int = 2, chunk_bytes: int = 8 << 20, tokens_a_part: int = 2_000_000, least_parts: int = 64, doc_id: str = "doc_id", text: str = "text"):
         self.chunks = encode(docs, held, chunk_bytes, doc_id, text)
         self.kind = self.chunks.schema["doc_ids"].dataType.elementType.simpleString()
         n, d = self.chunks.agg(F.sum("n_train"), F.sum("docs_train")).first()
