@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.shipping import ship
 
-#: The ASCII white space that separates words in every contract: space, \t \n \v \f \r.
-SPACE = " \t\n\x0b\x0c\r"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
