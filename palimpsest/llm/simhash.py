@@ -78,19 +78,44 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
-def wide_fingerprints(docs: DataFrame, size: int = 5, words: int = 4, index_words: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``wide`` (fingerprint of the shingles) and ``index`` (of the different
-    words), as arrays of signed longs. No shuffle."""
+#: Bands of rows of a MinHash signature: sets 0.8 alike share no band with a chance of
+#: (1 - 0.8 ** 4) ** 32, 5 in 10**8; more alike ones with less.
+BANDS, ROWS = 32, 4
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature of a set of hashes (none if it is empty)."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 2048):
+        mixed = shingles[None, at : at + 2048] * _MIX[0] + _MIX[1]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k in range(ROWS):
+        key = (key ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ (key >> np.uint64(29))
+    return key
+
+
+def shingle_sets(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``node`` (a hash of the set of shingles), ``shingles`` (the set, sorted) and
+    ``keys`` (of its bands), as signed longs. No shuffle."""
+    import xxhash
+
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            wide = [fingerprint(shingle_hashes(t, size, seed), words).view(np.int64) for t in texts]
-            index = [fingerprint(np.unique(shingle_hashes(t, 1, seed)), index_words).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.list_(pa.int64())), pa.array(index, pa.list_(pa.int64()))], ["doc_id", "wide", "index"])
+            sets = [np.unique(shingle_hashes(t, size, seed)) for t in batch.column("text").to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            longs = pa.list_(pa.int64())
+            columns = [batch.column("doc_id"), pa.array(node), pa.array([s.view(np.int64) for s in sets], longs), pa.array([band_keys(s).view(np.int64) for s in sets], longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "shingles", "keys"])
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("wide", ArrayType(LongType())).add("index", ArrayType(LongType())))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("shingles", ArrayType(LongType())).add("keys", ArrayType(LongType())))
 
 
 def _halves(fp: Column) -> list[Column]:
@@ -149,20 +174,37 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def wide_links(nodes: DataFrame, most: int) -> DataFrame:
-    """Pairs ``u < v`` of ``node`` whose ``wide`` fingerprints are at most ``most`` bits
-    apart, of those that have a 32-bit segment of ``index`` within one bit of each other."""
-    parts = nodes.select("node", F.posexplode("index").alias("k", "part"))
-    segment = lambda number, value: F.shiftleft(number.cast("long"), 32).bitwiseOR(value)
-    both = F.array(segment(F.col("k") * 2, F.col("part").bitwiseAND(F.lit(0xFFFFFFFF))), segment(F.col("k") * 2 + 1, F.shiftrightunsigned("part", 32)))
-    held = parts.select(F.col("node").alias("v"), F.explode(both).alias("key"))
-    ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(32)))
-    probes = held.select(F.col("v").alias("u"), F.explode(F.transform(ball, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-    pairs = probes.join(held, (probes["key"] == held["key"]) & (F.col("u") < F.col("v"))).select("u", "v").distinct()
-    a = nodes.select(F.col("node").alias("u"), F.col("wide").alias("a"))
-    b = nodes.select(F.col("node").alias("v"), F.col("wide").alias("b"))
-    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(a, "u").join(b, "v").where(apart <= most).select("u", "v")
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose ``shingles`` have this Jaccard similarity or more, counted exactly."""
+    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = sets.select("node", "shingles").join(met, "node").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    own = stored(own, "shingles")
+    a, b = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+
+
+def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, root`` of the linked nodes: those that share a band's key and are alike.
+
+    Each node is first held against the smallest one of each key; of what that has
+    not joined, every pair with a key in common is held against each other. So a
+    large group of near copies costs a pair a node and key, not a pair of each two.
+    """
+    held = nodes.select("node", F.explode("keys").alias("key"))
+    ends = held.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
+    shared = stored(held.join(ends.select("key", "u"), "key"), "shared")
+    first = stored(shared.where("node > u").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    found = stored(alike(first, sets, similarity), "links")
+    roots = components(found).select("node", "root")
+    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "rooted")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    left = stored(rooted.join(open_, "key"), "open")
+    a = left.select("key", F.col("node").alias("u"), F.col("root").alias("_ru"))
+    b = left.select("key", F.col("node").alias("v"), F.col("root").alias("_rv"))
+    rest = a.join(b, "key").where("u < v and _ru <> _rv").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    return components(found.union(alike(stored(rest, "pairs"), sets, similarity)))
 
 
 def bits_apart(similarity: float, bits: int) -> int:
@@ -173,20 +215,17 @@ def bits_apart(similarity: float, bits: int) -> int:
 
 
 def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, component_id`` per row, linking texts whose shingle sets are about
+    """``doc_id, component_id`` per row, linking texts whose shingle sets are
     ``similarity`` alike (Jaccard) or more.
 
-    Shingles tell such texts apart by far more bits than a small ball reaches, but
-    the words that they are made of by few. So the segments that are looked up come
-    from a fingerprint of the different words (eight of 32 bits), and the distance
-    that is verified is that of a 256-bit fingerprint of the shingles.
+    SimHash bits of such texts lie further apart than small balls reach, and no number
+    of bits tells 0.8 from 0.75. So candidates come from the shingles (bands of a
+    MinHash signature), and each is verified on the sets themselves.
     """
-    prints = wide_fingerprints(docs, size, doc_id=doc_id, text=text).withColumn("node", F.xxhash64("wide", "index"))
-    prints = stored(prints, "prints")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), F.min("index").alias("index"))
-    nodes = stored(nodes, "nodes")
-    found = components(wide_links(nodes, bits_apart(similarity, 256)))
-    return prints.select("doc_id", "node").join(_named(nodes.select("node", "least"), found), "node").select("doc_id", "component_id")
+    sets = stored(shingle_sets(docs, size, doc_id=doc_id, text=text), "sets")
+    nodes = stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")), "nodes")
+    found = similar_components(nodes, sets, similarity)
+    return sets.select("doc_id", "node").join(_named(nodes.select("node", "least"), found), "node").select("doc_id", "component_id")
 
 
 def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
