@@ -53,3 +53,9 @@ def test_block_edits_are_found(spark):
     kinds = ("append", "truncate", "replace", "scatter")
     pairs = [p for n, kind in enumerate(kinds) for p in pairs_of(kind, n, 0.8, 0.95)]
     assert linked(spark, pairs) == len(pairs)
+
+
+def test_less_alike_texts_all_stay(spark):
+    """A link needs a true similarity of 0.8: close misses are no copies, however many bits agree."""
+    pairs = [p for n, kind in enumerate(("append", "replace", "scatter")) for p in pairs_of(kind, 10 + n, 0.7, 0.8)]
+    assert linked(spark, pairs) == 0
