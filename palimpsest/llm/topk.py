@@ -13,7 +13,8 @@ cell a task's worth of bounded size. Each cell gives k rows a query at most, and
 these are merged by query.
 
 Defined results: vectors that are null or empty, or hold null or non-finite
-components (or ones of 2**26 and more when scaled), take no part; rows that
+components (or ones beyond a bigint when scaled), take no part; scores are exact,
+and a score among the best that is beyond a bigint is an error; rows that
 repeat exactly count once; a query is not a candidate of its own id; vectors of
 different lengths meet in their common components; an empty table gives an empty
 table; with fewer than k candidates all are returned; other columns are ignored.
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import stored
 
-_LARGEST = 1 << 26
+_LARGEST = float(1 << 63)
 
 
 def quantised(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """``vec_id, terms`` (array of int) of the vectors that take part, without exact repeats."""
-    scaled = F.transform(F.col(embedding), lambda x: F.floor(F.when(F.abs(x.cast("double")) * scale < _LARGEST, x.cast("double") * scale)).cast("int"))
+    """``vec_id, terms`` (array of bigint) of the vectors that take part, without exact repeats."""
+    scaled = F.transform(F.col(embedding), lambda x: F.floor(F.when(F.abs(x.cast("double")) * scale < _LARGEST, x.cast("double") * scale)).cast("bigint"))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), scaled.alias("terms"))
     whole = F.col("vec_id").isNotNull() & (F.size("terms") > 0) & ~F.exists("terms", lambda x: x.isNull())
     return rows.where(whole).distinct()
@@ -42,10 +43,10 @@ def quantised(vectors: DataFrame, scale: int = 256, vec_id: str = "vec_id", embe
 class BlockIndex:
     """A shard of vectors as document-range blocks with term bounds and forward indexes."""
 
-    def __init__(self, ids: np.ndarray, terms: np.ndarray, block: int = 64):
+    def __init__(self, ids: np.ndarray, terms: np.ndarray, block: int = 64, kind: type = np.float64):
         top = np.argmax(terms, axis=1)
         order = np.lexsort((ids, -terms[np.arange(len(terms)), top], top))
-        self.ids, self.terms = ids[order], terms[order].astype(np.float64)
+        self.ids, self.terms = ids[order], terms[order].astype(kind)
         self.starts = np.arange(0, len(ids), block)
         self.stops = np.append(self.starts[1:], len(ids))
         self.upper = np.maximum.reduceat(self.terms, self.starts, axis=0)
@@ -69,11 +70,12 @@ class BlockIndex:
                     break
             rows = np.concatenate([np.arange(self.starts[b], self.stops[b]) for b in take.tolist()])
             self.scored += len(rows)
-            found = np.rint(self.terms[rows] @ query).astype(np.int64)
+            found = self.terms[rows] @ query
+            found = np.rint(found).astype(np.int64) if found.dtype == np.float64 else found
             other = self.ids[rows] != query_id
             ids = np.concatenate((ids, self.ids[rows][other]))
             scores = np.concatenate((scores, found[other]))
-            best = np.lexsort((ids, -scores))[:k]
+            best = np.lexsort((ids, -scores))[:k] if scores.dtype != object else sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k]
             ids, scores = ids[best], scores[best]
             at, step = at + step, min(2 * step, 32)
         return ids, scores
@@ -100,13 +102,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
         if len(docs) and len(asked):
             width = max(docs["terms"].map(len).max(), asked["terms"].map(len).max())
             terms, queries = _matrix(docs["terms"], width), _matrix(asked["terms"], width)
-            if float(np.abs(terms).max()) * float(np.abs(queries).max()) * width >= 2**53:
-                raise OverflowError("scores of 2**53 and more aren't exact here")
-            index = BlockIndex(docs["vec_id"].to_numpy(dtype=np.int64), terms)
-            queries = queries.astype(np.float64)
+            most = int(np.abs(terms).max()) * int(np.abs(queries).max()) * int(width)
+            kind = np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
+            index = BlockIndex(docs["vec_id"].to_numpy(dtype=np.int64), terms, kind=kind)
+            queries = queries.astype(kind)
             bounds = index.bounds(queries)
             for i, own in enumerate(asked["vec_id"].tolist()):
                 ids, scores = index.search(own, queries[i], bounds[i], k)
+                if any(not -(2**63) <= x < 2**63 for x in scores.tolist()):
+                    raise OverflowError("a score is beyond a bigint")
+                scores = scores.astype(np.int64)
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
