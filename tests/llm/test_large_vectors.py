@@ -25,3 +25,17 @@ def test_bound_beyond_a_bigint(spark):
     rows = [(0, [2.0**30, 1.0]), (1, [2.0**16, 1.0]), (2, [0.0, 2.0**40])]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()))
     assert got == [(0, 1, 1, 2**62 + 2**16), (0, 2, 2, 2**56)]
+
+
+def test_scores_beyond_a_bigint_rank_by_their_value(spark):
+    rows = [(0, [2.0**60, 0.0]), (1, [2.0**60, 0.0]), (2, [2.0**61, 0.0]), (3, [-(2.0**61), 0.0]), (4, [-(2.0**60), 0.0]), (5, []), (6, [1.0, 1.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=6, shard_rows=2).collect()))
+    most = 2**63 - 1
+    assert got == [(0, 1, 2, most), (0, 2, 1, most), (0, 3, 6, most), (0, 4, 5, 0), (0, 5, 4, -most - 1), (0, 6, 3, -most - 1)]
+
+
+def test_repeated_rows_are_candidates_and_queries_of_their_own(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (7, [2.0]), (7, [2.0]), (8, [0.5])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=3).collect()))
+    one = [(0, 1, 7, 256 * 512), (0, 2, 7, 256 * 512), (0, 3, 0, 256 * 256)]
+    assert got == sorted(one + one)

@@ -120,7 +120,7 @@ def test_top_k(spark):
 def test_blocks_are_pruned():
     rng = np.random.default_rng(1)
     terms = np.maximum(0, rng.normal(size=(4000, 16)) * 40).astype(np.int64) * (rng.random((4000, 16)) < 0.2)
-    index = topk.BlockIndex(np.arange(4000), terms)
+    index = topk.BlockIndex(np.arange(4000), terms.astype(np.float64), np.arange(4000))
     query = terms[17].astype(np.float64)
     ids, scores = index.search(-1, query, index.bounds(query[None])[0], 5)
     best = sorted((-int(s), i) for i, s in enumerate((terms @ terms[17]).tolist()))[:5]
