@@ -1,11 +1,13 @@
 """Removal of repeated three-line windows, in DataFrame operations alone.
 
-A text is cut into lines: a line ends after a newline, or after a letter or
-digit, one of ``. ? !`` and white space, so a passage set in the middle of a
-paragraph is found too. White space at the end belongs to the line (the lines
-joined give the text back) but is trimmed before comparing. Three consecutive
-lines are a window, and windows overlap. A window whose trimmed lines have fewer
-than ``min_chars`` characters in all says too little to be a copy and is let be.
+A text is cut into lines. A line ends after a newline, or after a letter or digit,
+one of ``. ? !`` (closing quotes and brackets may follow) and white space, or after a
+full stop of Chinese or Japanese, so a passage set in the middle of a paragraph is
+found too; beyond ``LONG`` characters a comma, colon or semicolon ends it as well, so
+that a passage of few long sentences still has three lines. White space at the end
+belongs to the line (the lines joined give the text back) but is trimmed before
+comparing. Three consecutive lines are a window, and windows overlap. Windows of any
+length count.
 
 Of equal windows anywhere in the table the first stays: the smallest doc_id,
 then the smallest position. All later ones go; the lines that they cover are
@@ -32,10 +34,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stored
+from palimpsest.llm.common import stored, unused
 
+#: From so many characters on, a line ends at a comma too.
+LONG = 60
 #: One line, with the white space after it.
-LINE = r"(?s).+?(?:[\p{L}\p{N}][.?!][ \t\r\n]+|\n[ \t\r\n]*|\z)"
+LINE = (
+    rf"""(?s)(?:.{{1,{LONG}}}?(?:[\p{{L}}\p{{N}}][.?!]["”’»)\]]*[ \t\r\n]+|[。！？]|\n[ \t\r\n]*|\z)"""
+    rf"""|.{{{LONG}}}.*?(?:[\p{{L}}\p{{N}}][.?!,;:]["”’»)\]]*[ \t\r\n]+|[。！？]|\n[ \t\r\n]*|\z))"""
+)
 BLANK = " \t\r\n"
 
 
@@ -44,21 +51,14 @@ def lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
-def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40) -> DataFrame:
+def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``_id, _row, _pos, _hash`` of every window; ``_row`` is a hash of the text."""
-    each = F.transform(lines(F.col(text)), lambda s: F.btrim(s, F.lit(BLANK)))
-    hashed = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), F.transform(each, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("n"))).alias("_each"))
+    each = F.transform(lines(F.col(text)), lambda s: F.xxhash64(F.btrim(s, F.lit(BLANK))))
+    hashed = docs.select(F.col(doc_id).alias("_id"), F.hash(text).alias("_row"), each.alias("_each"))
     many = F.greatest(F.size("_each") - 2, F.lit(0))
-    third = F.slice("_each", F.lit(3), many)
-    pairs = F.arrays_zip(F.slice("_each", F.lit(1), many).alias("a"), F.slice("_each", F.lit(2), many).alias("b"), third.alias("c"))
-    window = F.transform(
-        pairs,
-        lambda w: F.when(
-            w["a"]["n"] + w["b"]["n"] + w["c"]["n"] >= min_chars,
-            F.xxhash64(w["a"]["h"], w["b"]["h"], w["c"]["h"]),
-        ),
-    )
-    return hashed.select("_id", "_row", F.posexplode(window).alias("_pos", "_hash")).where("_hash is not null")
+    thirds = (F.slice("_each", F.lit(n), many).alias(c) for n, c in enumerate("abc", 1))
+    window = F.transform(F.arrays_zip(*thirds), lambda w: F.xxhash64(w["a"], w["b"], w["c"]))
+    return hashed.select("_id", "_row", F.posexplode(window).alias("_pos", "_hash"))
 
 
 def later_windows(found: DataFrame) -> DataFrame:
@@ -69,36 +69,39 @@ def later_windows(found: DataFrame) -> DataFrame:
     return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_starts"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 40, removed: str = "n_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
     """``docs`` with repeated windows cut from ``text``, plus ``removed``, the number of
-    lines cut (replacing a column of that name). Only texts with cuts are split again.
-    No other column may begin with ``__cut_``."""
-    later = later_windows(stored(windows(docs, doc_id, text, min_chars), "windows"))
-    later = later.select(F.col("_id").alias("__cut_id"), F.col("_row").alias("__cut_row"), F.col("_starts").alias("__cut_starts"))
-    own = docs.withColumn("__cut_hash", F.hash(text))
-    met = own.join(later, F.col(doc_id).eqNullSafe(F.col("__cut_id")) & (F.col("__cut_hash") == F.col("__cut_row")), "left")
-    met = met.withColumn("__cut_lines", F.when(F.col("__cut_starts").isNotNull(), lines(F.col(text))))
+    lines cut (replacing a column of that name). Only texts with cuts are split again."""
+    own = unused(docs, "__cut")
+    names = {c: f"{own}_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept")}
+    later = later_windows(stored(windows(docs, doc_id, text), "windows"))
+    later = later.select(F.col("_id").alias(names["id"]), F.col("_row").alias(names["row"]), F.col("_starts").alias(names["starts"]))
+    met = docs.withColumn(names["hash"], F.hash(text))
+    met = met.join(later, F.col(doc_id).eqNullSafe(F.col(names["id"])) & (F.col(names["hash"]) == F.col(names["row"])), "left")
+    starts = F.col(names["starts"])
+    met = met.withColumn(names["lines"], F.when(starts.isNotNull(), lines(F.col(text))))
     # Between the end of one cut window and the start of the next, lines stay.
-    ends = F.concat(F.array(F.lit(-3)), F.col("__cut_starts"))
-    starts = F.concat(F.col("__cut_starts"), F.array(F.size("__cut_lines")))
-    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("__cut_lines", a + 4, F.greatest(F.lit(0), b - a - 3))))
-    met = met.withColumn("__cut_kept", kept)
+    ends = F.concat(F.array(F.lit(-3)), starts)
+    begins = F.concat(starts, F.array(F.size(names["lines"])))
+    kept = F.flatten(F.zip_with(ends, begins, lambda a, b: F.slice(names["lines"], a + 4, F.greatest(F.lit(0), b - a - 3))))
+    met = met.withColumn(names["kept"], kept)
     out = {
-        text: F.when(F.col("__cut_kept").isNull(), F.col(text)).otherwise(F.array_join("__cut_kept", "")),
-        removed: F.coalesce(F.size("__cut_lines") - F.size("__cut_kept"), F.lit(0)).cast("long"),
+        text: F.when(F.col(names["kept"]).isNull(), F.col(text)).otherwise(F.array_join(names["kept"], "")),
+        removed: F.coalesce(F.size(names["lines"]) - F.size(names["kept"]), F.lit(0)).cast("long"),
     }
-    return met.withColumns(out).drop(*(f"__cut_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept")))
+    return met.withColumns(out).drop(*names.values())
 
 
 #: The same over the whole table in DuckDB, comparing the lines themselves.
-ORACLE = r"""
+ORACLE = (
+    r"""
 WITH cut AS (
-  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '(?s).+?(?:[\p{L}\p{N}][.?!][ \t\r\n]+|\n[ \t\r\n]*|\z)') AS ls FROM documents),
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '"""
+    + LINE
+    + r"""') AS ls FROM documents),
 trimmed AS (SELECT doc_id, list_transform(ls, lambda s: trim(s, E' \t\r\n')) AS t FROM cut WHERE len(ls) > 2),
 spots AS (SELECT doc_id, t, unnest(range(len(t) - 2)) AS pos FROM trimmed),
-wins AS (
-  SELECT doc_id, pos, [t[pos + 1], t[pos + 2], t[pos + 3]] AS w FROM spots
-  WHERE length(t[pos + 1]) + length(t[pos + 2]) + length(t[pos + 3]) >= 40),
+wins AS (SELECT doc_id, pos, [t[pos + 1], t[pos + 2], t[pos + 3]] AS w FROM spots),
 later AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM wins) WHERE k > 1),
 covered AS (SELECT doc_id, list(DISTINCT pos + d) AS gone FROM later, (VALUES (0), (1), (2)) AS v(d) GROUP BY doc_id),
 split AS (SELECT doc_id, cut.text AS whole, ls, coalesce(gone, []) AS gone FROM cut LEFT JOIN covered USING (doc_id))
@@ -106,3 +109,4 @@ SELECT doc_id, CAST(len(gone) AS BIGINT) AS n_removed,
   CASE WHEN len(gone) = 0 THEN whole ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), '') END AS text
 FROM split
 """
+)
