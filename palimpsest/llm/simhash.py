@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import bounded_batches, slices, stored
+from palimpsest.llm.common import bounded_batches, slices, stored, unused
 
 
 def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -237,7 +237,7 @@ def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component of similar texts (all rows of that id; rows with a null id stay).
-    No column may be called ``__kept_id``."""
-    named = group_similar(docs, size, similarity, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(named, F.col(doc_id) == F.col("__kept_id"), "left").where(F.col("__kept_id").isNotNull() | F.col(doc_id).isNull()).drop("__kept_id")
+    """The rows of ``docs`` whose id names their component of similar texts (all rows of that id; rows with a null id stay)."""
+    kept = unused(docs, "__kept_id")
+    named = group_similar(docs, size, similarity, doc_id, text).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(named, F.col(doc_id) == F.col(kept), "left").where(F.col(kept).isNotNull() | F.col(doc_id).isNull()).drop(kept)
