@@ -22,7 +22,6 @@ empty table; other columns are ignored. Long texts count whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,19 +50,13 @@ def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarra
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)), dtype=np.uint64, count=len(starts))
 
 
-def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
-    """The majority of each bit (strictly more than half), as ``words`` unsigned 64-bit
-    numbers; beyond the first 64 bits, each hash is mixed to give more."""
-    ones = np.zeros((words, 64), dtype=np.int64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The majority of each bit (strictly more than half), as one unsigned 64-bit number."""
+    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536]
-        for k in range(words):
-            if k:
-                part = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                part = part ^ (part >> np.uint64(29))
-            bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[k] += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,12 +177,36 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
 
 
+def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``u < v`` of nodes with different roots that may be ``similarity`` alike, none that are left out.
+
+    ``open_`` has ``node, root``. A node's shingles are ordered by how many of these nodes have them,
+    the rarest first. Two sets so alike share a shingle among the first ``n - similarity * n + 1``
+    of each, and at the first one that they share enough shingles must be left behind it in both.
+    So what is peculiar to a text keeps it from all that it isn't close to, in the join itself.
+    """
+    own = stored(open_.join(sets.select("node", "shingles"), "node").groupBy("node", "root").agg(F.min("shingles").alias("shingles")), "open")
+    each = own.select("node", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    rows = own.select("node", "root", F.size("shingles").alias("n")).join(shared, "node")
+    alone = F.col("n") - F.size("shared")  # shingles of no other node come first
+    prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
+    first = F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix - alone).cast("int"))
+    held = stored(rows.select("node", "root", "n", alone.alias("alone"), F.posexplode(first).alias("k", "e")).select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left"), F.col("e.s").alias("s")), "prefixes")
+    a, b = (held.select("s", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "left"))) for x in "ab")
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+    near = near & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
+    near = near & (F.least("left_a", "left_b") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    return a.join(b, (a["s"] == b["s"]) & near).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+
+
 def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``node, root`` of the linked nodes: those that share a band's key and are alike.
 
-    Each node is first held against the smallest one of each key; of what that has
-    not joined, every pair with a key in common is held against each other. So a
-    large group of near copies costs a pair a node and key, not a pair of each two.
+    Each node is first held against the smallest one of each of its keys, which costs a pair a
+    node and key however large a group of near copies is. Nodes that then still share a key
+    with one of another component are held against what is :func:`within_reach` among them.
     """
     held = nodes.select("node", F.explode("keys").alias("key"))
     ends = held.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
@@ -197,23 +214,12 @@ def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) ->
     first = stored(shared.where("node > u").select("u", F.col("node").alias("v")).distinct(), "pairs")
     found = stored(alike(first, sets, similarity), "links")
     roots = components(found).select("node", "root")
-    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    left = stored(rooted.join(open_, "key"), "open")
-    a = left.select("key", F.col("node").alias("u"), F.col("root").alias("_ru"))
-    b = left.select("key", F.col("node").alias("v"), F.col("root").alias("_rv"))
-    rest = a.join(b, "key").where("u < v and _ru <> _rv").select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
+    rooted = stored(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    rest = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity).join(first, ["u", "v"], "left_anti")
     return components(found.union(alike(stored(rest, "pairs"), sets, similarity)))
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """How far fingerprints of sets of this Jaccard similarity lie apart: the expected
-    number of bits and two standard deviations more."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
-
-
 def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, component_id`` per row, linking texts whose shingle sets are
     ``similarity`` alike (Jaccard) or more.

@@ -59,3 +59,24 @@ def test_less_alike_texts_all_stay(spark):
     """A link needs a true similarity of 0.8: close misses are no copies, however many bits agree."""
     pairs = [p for n, kind in enumerate(("append", "replace", "scatter")) for p in pairs_of(kind, 10 + n, 0.7, 0.8)]
     assert linked(spark, pairs) == 0
+
+
+def test_families_of_texts_around_the_limit(spark):
+    """Components against all pairs, where many texts share a template and are 0.6 to 0.9 alike."""
+    rng, rows = random.Random(21), []
+    for family in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60 + 80 * family)]
+        for _ in range(60):
+            rows.append((len(rows), " ".join(edited(base, rng.choice(("scatter", "replace", "append", "truncate")), rng.uniform(0.02, 0.35), rng))))
+    rows += [(len(rows) + k, t) for k, t in enumerate(["", "one two", "one two", "a b c d e", "a b c d e f"])]
+    root = list(range(len(rows)))
+    sets = [shingles(t) or {tuple(t.split())} for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if rows[a][1] and rows[b][1] and both / len(sets[a] | sets[b]) >= 0.8:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    found = simhash.group_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
+    assert 10 < len(set(root)) < 200

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import duckdb
@@ -12,10 +13,11 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from palimpsest.llm import line_dedup, quality, simhash, toxicity
+from palimpsest.llm import line_dedup, quality, toxicity
 from palimpsest.llm.common import table
 
 SF = "/root/testdata/sf0.001"
+WORDS = re.compile(b"[^\x20\x09-\x0d]+")
 
 
 def test_whole_pipeline(spark):
@@ -33,12 +35,12 @@ def test_whole_pipeline(spark):
     texts = {i: t for i, t in duckdb.sql(f"SELECT doc_id, text FROM ({line_dedup.ORACLE})").fetchall()}
 
     ids = sorted(texts)
-    wide = [simhash.fingerprint(simhash.shingle_hashes(texts[i], 5), 4) for i in ids]
-    index = [simhash.fingerprint(np.unique(simhash.shingle_hashes(texts[i], 1)), 4).view(np.uint32) for i in ids]
+    words = [WORDS.findall(texts[i].encode().lower()) for i in ids]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
     root = list(range(len(ids)))
     for a in range(len(ids)):
         for b in range(a):
-            if np.bitwise_count(wide[a] ^ wide[b]).sum() <= simhash.bits_apart(0.8, 256) and (np.bitwise_count(index[a] ^ index[b]) <= 1).any():
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     texts = {i: texts[i] for k, i in enumerate(ids) if root[k] == k}
