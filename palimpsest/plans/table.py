@@ -15,7 +15,6 @@ never pass through the driver.
 from __future__ import annotations
 
 import json
-import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.model import CHANGE_LOG, DEFAULT_FLUSH_BYTES, DEFAULT_L0_TRIGGER, MAX_SEQ, SEGMENT, Conflict, Corrupt, KvError, check_key, check_value, validated
 from palimpsest.operators import lww, read
+from palimpsest.shared import shared_folder
 from palimpsest.shipping import ship
 from palimpsest.sources import manifest_text, wal
 from palimpsest.sources.sst import read_segments
@@ -294,8 +294,7 @@ def with_seqs(rows: DataFrame, order: tuple[str, ...], start: int) -> DataFrame:
     a count for each of its partitions, and numbers within them. No task sees all rows."""
     placed = rows.repartitionByRange(*(order or ("key",))).withColumn("_part", F.spark_partition_id())
     spark = rows.sparkSession
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest-checkpoint"
-    path = f"{checkpoint.rstrip('/')}/palimpsest-seq-{time.time_ns()}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/palimpsest-seq-{uuid.uuid4().hex}"
     placed.write.parquet(path)
     placed = spark.read.schema(placed.schema).parquet(path)
     before, firsts = start, []

@@ -17,6 +17,7 @@ from palimpsest.functions import model, scalar
 from palimpsest.operators import lww, read, stats
 from palimpsest.plans.table import KvTable, with_seqs
 from palimpsest.shell import Shell, parsed
+from palimpsest.shared import shared_folder
 from palimpsest.shipping import ship
 from palimpsest.sources import sst, wal
 from palimpsest.sources.manifest_text import parsed_lines
@@ -54,8 +55,7 @@ def segments(log: DataFrame) -> DataFrame:
 
 def _new_path(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/palimpsest-checkpoint"
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def _text(rows: DataFrame) -> DataFrame:
