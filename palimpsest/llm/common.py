@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -12,32 +14,66 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import delete, shared_folder
 from palimpsest.shipping import ship
 
 
+#: Folders and catalog tables that operators have written, by application.
+_written: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names the folder; only where the session has none
-    (local tests) is one under /tmp set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/palimpsest-checkpoint"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/palimpsest-{tag}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, noted for :func:`clean`."""
+    path = f"{shared_folder(spark)}/palimpsest-{tag}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_clean_all)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here."""
     path = shared_path(df.sparkSession, tag)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what :func:`stored` has written for these, of which nothing may be read any more."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all folders that this application's operators have written, their results' sources
+    included: for when these have been read. Happens by itself as the driver's Python ends."""
+    app = spark.sparkContext.applicationId
+    for name in _tables.pop(app, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for path in _written.pop(app, []):
+        delete(spark, path)
+
+
+def _clean_all() -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        if (spark := SparkSession.getActiveSession()) is not None:
+            clean(spark)
+
+
+def bucketed(df: DataFrame, tag: str, buckets: int, column: str) -> DataFrame:
+    """``df`` written to the shared folder as a table in buckets of a column, and read back."""
+    spark, name = df.sparkSession, f"palimpsest_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", shared_path(spark, tag)).saveAsTable(name)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -36,7 +36,6 @@ texts of any length are scored whole (a longer one is a chunk of its own).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, id_text_crc, shared_path, slices, stored
+from palimpsest.llm.common import bounded_batches, bucketed, id_text_crc, slices, stored
 
 #: Counts up to this one are discounted.
 K = 5
@@ -187,12 +186,10 @@ def encode(docs: DataFrame, held: Column, chunk_bytes: int, doc_id: str, text: s
             )
 
     spark = docs.sparkSession
-    name = f"palimpsest_chunks_{uuid.uuid4().hex}"
     chunks = rows.mapInArrow(run, schema)
     # With fewer buckets than shuffle partitions, joins would shuffle the chunks after all.
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, rows.rdd.getNumPartitions()))
-    chunks.write.bucketBy(buckets, "chunk").option("path", shared_path(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(chunks, "chunks", buckets, "chunk")
 
 
 def _answer(kind: int, p: int, chunk: int = -1, parts: list[bytes] | None = None, stats: list[int] | None = None, ctx: int = -1, low: float = 0.0) -> dict:
@@ -231,8 +228,9 @@ def _merge_words(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return _frame(out)
 
 
-def _merge_pairs(pdf: pd.DataFrame, threshold: float, hot: np.ndarray) -> pd.DataFrame:
-    """A higher order in one partition: counts by (context, word) and sums by context."""
+def _merge_pairs(pdf: pd.DataFrame, threshold: float, hot: np.ndarray, last: bool) -> pd.DataFrame:
+    """A higher order in one partition: counts by (context, word) and sums by context.
+    At the last order nobody asks for ids."""
     pdf = pdf.sort_values("chunk")
     p = int(pdf["p"].iloc[0])
     ctx = [np.repeat(unpack(x[0], True), unpack(x[1])) for x in pdf["parts"]]
@@ -264,7 +262,7 @@ def _merge_pairs(pdf: pd.DataFrame, threshold: float, hot: np.ndarray) -> pd.Dat
         lacks = np.zeros(len(contexts), dtype=bool)
         lacks[met[counts[mine] == 0]] = True
         back = asked[lacks[asked] & ~spread[asked]]
-        out.append(_answer(REPLY, p, chunk, [pack(counts[mine]), pack(mine), pack(stiff[asked]), pack(lacks[asked] & ~spread[asked]), *(pack(few[back, r]) for r in range(K)), pack(below[back])]))
+        out.append(_answer(REPLY, p, chunk, [pack(counts[mine]), b"" if last else pack(mine), pack(stiff[asked]), pack(lacks[asked] & ~spread[asked]), *(pack(few[back, r]) for r in range(K)), pack(below[back])]))
     return _frame(out)
 
 
@@ -327,7 +325,8 @@ def _next_walk(walk: Walk, replies: list, below: Level, level: Level, start_coun
     asked = ask(ctx, walk.word, below.hot, parts)
     n = len(asked.ctx)
     counts = np.concatenate([unpack(r["parts"][0]) for r in replies])
-    ids = np.concatenate([unpack(r["parts"][1]) + level.first_id[r["p"]] for r in replies])
+    ids = np.concatenate([unpack(r["parts"][1]) + level.first_id[r["p"]] if r["parts"][1] else np.zeros(0, dtype=np.int64) for r in replies])
+    ids = ids if len(ids) else np.zeros(n, dtype=np.int64)
     first = np.ones(n, dtype=bool)
     first[1:] = (asked.ctx[1:] != asked.ctx[:-1]) | (asked.part[1:] != asked.part[:-1])
     of = np.cumsum(first) - 1
@@ -369,11 +368,19 @@ class KatzModel:
         self.levels: list[Level] = []
         self.tables: list[DataFrame] = []
         self._words()
-        for _ in range(1, order):
-            self._pairs()
+        for n in range(1, order):
+            self._pairs(last=n == order - 1)
 
     def _keep(self, requests: DataFrame, merge, tag: str) -> DataFrame:  # noqa: ANN001
-        answers = stored(requests.groupBy("p").applyInPandas(merge, _ANSWER), tag, "kind")
+        # One task a partition of the table, however many partitions shuffles have in this session.
+        dealt = requests.repartitionById(self.parts, "p")
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [f for f in frames if len(f)]
+            if held:
+                yield merge(pd.concat(held, ignore_index=True))
+
+        answers = stored(dealt.mapInPandas(run, _ANSWER), tag, "kind")
         self.tables.append(answers)
         return answers
 
@@ -440,7 +447,7 @@ class KatzModel:
 
         return rows.mapInArrow(each, schema)
 
-    def _pairs(self) -> None:
+    def _pairs(self, last: bool) -> None:
         below, starts, parts, threshold = self.levels[-1], self.docs_train, self.parts, self.threshold
 
         def run(one: pa.RecordBatch, row: dict, walk: Walk) -> pa.RecordBatch:
@@ -462,7 +469,7 @@ class KatzModel:
 
         hot = below.hot
         requests = self._walked(run, "p int, chunk bigint, parts array<binary>")
-        answers = self._keep(requests, lambda pdf: _merge_pairs(pdf, threshold, hot), "pairs")
+        answers = self._keep(requests, lambda pdf: _merge_pairs(pdf, threshold, hot, last), "pairs")
         level = self._level(answers)
         # At most one row for each spread context, of which there are fewer than 8 a partition.
         sums = answers.where(F.col("kind") == HOT).groupBy("ctx").agg(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import bounded_batches, slices, stored, unused
+from palimpsest.llm.common import bounded_batches, forget, slices, stored, unused
 
 
 def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -145,7 +145,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         met = down.join(low, "u")
         small = met.select(F.col("u"), F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stored(small, "edges")
+        last, edges = edges, stored(small, "edges")
+        forget(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
