@@ -14,7 +14,7 @@ from palimpsest.llm.common import table
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score_documents(table(spark, sf_dir, "documents"), order=2)
+    return katz.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
