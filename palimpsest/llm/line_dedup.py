@@ -18,9 +18,8 @@ Windows are compared by a 64-bit hash of the lines' 64-bit hashes.
 
 Window rows (hash, id, position) are written to the shared folder once, so texts
 are split once, and shuffled twice, once pre-aggregated; documents are shuffled
-once, to meet the positions to cut. A window that a third of all
-documents share is one row a task after pre-aggregation, and its rows in the
-join are a skewed join's, which Spark splits.
+once, to meet the positions to cut. A window that a third of all documents share is
+one row a task after pre-aggregation, and its rows meet the first one by broadcast.
 
 Defined results: a null text stays null and has no lines; an empty text has no
 lines; texts of one or two lines have no window and stay; rows with equal id and
@@ -44,6 +43,8 @@ LINE = (
     rf"""|.{{{LONG}}}.*?(?:[\p{{L}}\p{{N}}][.?!,;:]["”’»)\]]*[ \t\r\n]+|[。！？]|\n[ \t\r\n]*|\z))"""
 )
 BLANK = " \t\r\n"
+#: A window that has more than one in so many of all repeated rows is joined without a shuffle.
+HOT = 1000
 
 
 def lines(text: Column) -> Column:
@@ -64,8 +65,13 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def later_windows(found: DataFrame) -> DataFrame:
     """``_id, _row, _starts``: sorted positions of the windows that repeat an earlier one."""
     place = F.struct("_id", "_pos", "_row")
-    first = found.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where(~F.col("_first").eqNullSafe(F.col("_last")))
-    later = found.join(first.select("_hash", "_first"), "_hash").where(~place.eqNullSafe(F.col("_first")))
+    ends = found.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_n"))
+    first = stored(ends.where(~F.col("_first").eqNullSafe(F.col("_last"))).select("_hash", "_first", "_n"), "repeats")
+    total = first.agg(F.sum("_n")).first()[0] or 0
+    # Fewer than HOT hashes by construction, so they can go to every task; no other one is large.
+    hot = F.broadcast(first.where(F.col("_n") * HOT > total))
+    cold = found.join(hot, "_hash", "left_anti").join(first.where(F.col("_n") * HOT <= total), "_hash")
+    later = cold.unionByName(found.join(hot, "_hash")).where(~place.eqNullSafe(F.col("_first")))
     return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_starts"))
 
 

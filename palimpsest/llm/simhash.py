@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import bounded_batches, forget, slices, stored, unused
+from palimpsest.llm.common import Memo, bounded_batches, forget, slices, stored, unused
 
 
 def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -95,17 +95,26 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 def shingle_sets(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``node`` (a hash of the set of shingles), ``shingles`` (the set, sorted) and
-    ``keys`` (of its bands), as signed longs. No shuffle."""
+    ``keys`` (of its bands), as signed longs. No shuffle. A task gives a set once: the last two are
+    null in rows whose set it has given before, so that a node has a set for each task at most."""
     import xxhash
 
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = Memo(1_000_000)
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, size, seed)) for t in batch.column("text").to_pylist()]
-            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            nodes = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+            new = set(given.missing(nodes))
+            first = [n in new and not new.discard(n) for n in nodes]
+            given.update(dict.fromkeys(nodes))
             longs = pa.list_(pa.int64())
-            columns = [batch.column("doc_id"), pa.array(node), pa.array([s.view(np.int64) for s in sets], longs), pa.array([band_keys(s).view(np.int64) for s in sets], longs)]
+            columns = [
+                batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                pa.array([s.view(np.int64) if f else None for s, f in zip(sets, first, strict=True)], longs),
+                pa.array([band_keys(s).view(np.int64) if f else None for s, f in zip(sets, first, strict=True)], longs),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "shingles", "keys"])
 
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("shingles", ArrayType(LongType())).add("keys", ArrayType(LongType())))
@@ -171,7 +180,7 @@ def hex_digits(fp: Column) -> Column:
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u, v`` whose ``shingles`` have this Jaccard similarity or more, counted exactly."""
     met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = sets.select("node", "shingles").join(met, "node").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    own = sets.where("shingles is not null").select("node", "shingles").join(met, "node").groupBy("node").agg(F.min("shingles").alias("shingles"))
     own = stored(own, "shingles")
     a, b = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
@@ -186,7 +195,7 @@ def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     of each, and at the first one that they share enough shingles must be left behind it in both.
     So what is peculiar to a text keeps it from all that it isn't close to, in the join itself.
     """
-    own = stored(open_.join(sets.select("node", "shingles"), "node").groupBy("node", "root").agg(F.min("shingles").alias("shingles")), "open")
+    own = stored(open_.join(sets.where("shingles is not null").select("node", "shingles"), "node").groupBy("node", "root").agg(F.min("shingles").alias("shingles")), "open")
     each = own.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
