@@ -3,9 +3,13 @@
 Every line with a word gets features of its shape (length, shares of capitals,
 symbols, bars, repeated words, how it ends, whether it repeats an earlier line).
 Viterbi decoding of a two-label chain marks each line as content or boilerplate,
-and the share of words in content lines decides whether a document is kept. The
-chain's weights are fitted by maximum likelihood to lines of a bounded sample of
-quality-labelled documents (a line is content if its document is good).
+and the share of words in content lines decides whether a document is kept.
+
+The chain is fitted to a bounded sample of quality-labelled documents. These are
+labelled as wholes, so their lines' labels are learned: they begin as their
+document's, and then turn to what the chain says, as long as most words of a good
+document are content and most of a bad one boilerplate. What changes between lines
+looks like is learned from chains spliced of stretches of good and bad documents.
 
 Word and line statistics of whole texts come from arrays over the distinct words
 of a batch. No shuffle; the longest text is one task's work at most.
@@ -171,11 +175,11 @@ def viterbi(chain: Chain, features: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return labels
 
 
-def fit_chain(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> Chain:
+def fit_chain(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1.0, start: Chain | None = None) -> Chain:
     """Maximum likelihood by gradient ascent with forward and backward sums (chains of length 1 at least)."""
     n, steps = len(features), list(_steps(lengths))
     width = features.shape[1]
-    theta = np.zeros(2 * width + 4)
+    theta = np.zeros(2 * width + 4) if start is None else np.concatenate((start.emit.ravel(), start.move.ravel()))
     seen = np.zeros((n, 2))
     seen[np.arange(n), labels] = 1
     inner = np.ones(n, dtype=bool)
@@ -203,6 +207,53 @@ def fit_chain(features: np.ndarray, lengths: np.ndarray, labels: np.ndarray, rou
     return Chain(theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2))
 
 
+def spliced(found: Shapes, good: np.ndarray, many: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of ``found``, lengths, labels) of ``many`` chains of two to five stretches, of good and bad documents in turn."""
+    rng = np.random.default_rng(seed)
+    lengths = _runs(found.line_doc, found.n_docs)
+    starts = np.cumsum(lengths) - lengths
+    docs = [np.flatnonzero((lengths > 0) & (good == kind)) for kind in (False, True)]
+    rows, sizes, labels = [], [], []
+    for _ in range(many if len(docs[0]) and len(docs[1]) else 0):
+        kind, n = int(rng.integers(2)), 0
+        for _ in range(int(rng.integers(2, 6))):
+            doc = docs[kind][rng.integers(len(docs[kind]))]
+            at = int(rng.integers(lengths[doc]))
+            stop = min(int(lengths[doc]), at + int(rng.geometric(0.25)))
+            rows.append(np.arange(starts[doc] + at, starts[doc] + stop))
+            labels.append(np.full(stop - at, kind))
+            n, kind = n + stop - at, 1 - kind
+        sizes.append(n)
+    whole = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64)
+    return whole(rows), np.array(sizes, dtype=np.int64), whole(labels)
+
+
+def pieces(lengths: np.ndarray, most: int = 100) -> np.ndarray:
+    """The lengths of chains cut into pieces of ``most`` lines and a rest."""
+    return np.concatenate([np.diff([*range(0, n, most), n]) for n in lengths.tolist()]) if len(lengths) else lengths
+
+
+def agreeing(labels: np.ndarray, found: Shapes, good: np.ndarray) -> np.ndarray:
+    """``labels`` of lines, but the document's own where they would make most of its words the other kind."""
+    words = np.bincount(found.line_doc, weights=found.line_words, minlength=found.n_docs)
+    content = np.bincount(found.line_doc, weights=found.line_words * labels, minlength=found.n_docs)
+    against = (2 * content > words) != good
+    return np.where(against[found.line_doc], good[found.line_doc], labels).astype(np.int64)
+
+
+def fit_lines(found: Shapes, good: np.ndarray, turns: int = 3) -> Chain:
+    """A chain fitted to documents of which only the kind is known, good or not."""
+    lengths = _runs(found.line_doc, found.n_docs)
+    rows, sizes, known = spliced(found, good, found.n_docs)
+    features = np.concatenate((found.features, found.features[rows]))
+    chains = np.concatenate((pieces(lengths[lengths > 0]), pieces(sizes)))
+    labels, chain = good[found.line_doc].astype(np.int64), None
+    for turn in range(turns):
+        chain = fit_chain(features, chains, np.concatenate((labels, known)), rounds=60 if turn else 150, start=chain)
+        labels = agreeing(viterbi(chain, found.features, lengths[lengths > 0]), found, good)
+    return chain
+
+
 def content_share(chain: Chain, found: Shapes) -> np.ndarray:
     """The share of each document's words that lie in content lines (1 without words)."""
     lengths = _runs(found.line_doc, found.n_docs)
@@ -228,9 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, doc_id: str = "doc
     good = np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1
     if not good.any() or good.all():
         return Chain.all_content()
-    found = shapes(one_array(got["text"]))
-    lengths = _runs(found.line_doc, found.n_docs)
-    return fit_chain(found.features, lengths[lengths > 0], good[found.line_doc].astype(np.int64))
+    return fit_lines(shapes(one_array(got["text"])), good)
 
 
 def judge(docs: DataFrame, chain: Chain, least_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
