@@ -2,15 +2,20 @@
 
 The lexicon is learned from labelled documents: words, and stems that begin many
 words, that are far more common in toxic documents than in others. A trie of its
-terms is intersected with the automaton of words within one edit, as one
+terms is intersected with the automaton of words within an edit (a letter
+changed, added or missing, anywhere, or two neighbours swapped), as one
 deterministic automaton whose states are built when first needed, so a word is
-matched in one pass that ends at the first letter no term can follow. Words
-within an edit that clean labelled documents use are let pass.
-
-A hit counts by its context: in a window of words around it, quotation marks on
-both sides, or one together with a word of saying, mark a mention rather than
-abuse and weaken the hit. A logistic curve over the weighted hits, fitted to the
-same labelled documents, gives the score.
+matched in one pass that ends at the first letter no term can follow. A term of
+three letters or fewer matches exactly, a longer one within one edit; a stem needs a
+letter more. Words within an edit that clean
+labelled documents use are let pass, and a term of four letters that such a word is
+close to matches exactly alone.
+
+A hit counts by its context: within a quotation (an opening mark and the next
+closing one) whose marks lie in a window of words around it, or of any length if a
+word of saying stands near, it is a mention rather than abuse and weakens. A
+logistic curve over the weighted hits, fitted to the same labelled documents, gives
+the score.
 
 Labels are read only where crc32 of the id (as text) modulo 5 is not 0, and of
 those at most ``most_toxic`` toxic and ``most_clean`` other rows, the first by a
@@ -51,69 +56,95 @@ def bare(word: str) -> str:
     return word if word.isalpha() else _EDGES.sub("", word)
 
 
+def edits_for(entry: str, stem: bool = False) -> int:
+    """How many edits an entry of the lexicon allows."""
+    return int(len(entry) - stem >= 4)
+
+
 class LexiconAutomaton:
-    """The words within ``edits`` edits of a term, or that begin with a stem.
+    """The words within the edits that a term allows, or that begin so with a stem.
 
-    The first letter is never edited, and terms of fewer than ``least`` letters
-    match exactly alone. A state is a set of (trie node, edits made).
+    A state is a set of (trie node, edits made, letter owed): of two swapped letters the
+    term's first one is owed when its second has been read. States are forgotten
+    when there are more than ``most``.
     """
 
-    def __init__(self, terms: list[str], stems: list[str], edits: int = 1, least: int = 5):
+    def __init__(self, terms: list[str], stems: list[str], exact: frozenset[str] = frozenset(), most: int = 100_000):
         self.children: list[dict[str, int]] = [{}]
         self.ends: dict[int, int] = {}
         self.stems: dict[int, int] = {}
+        self.allowed = [0]  # the most edits of any entry through a node
+        self.most = most
         for marks, entries in ((self.ends, terms), (self.stems, stems)):
             for entry in entries:
+                edits = 0 if entry in exact else edits_for(entry, marks is self.stems)
                 at = 0
+                self.allowed[0] = max(self.allowed[0], edits)
                 for c in entry:
                     if c not in self.children[at]:
                         self.children[at][c] = len(self.children)
                         self.children.append({})
+                        self.allowed.append(0)
                     at = self.children[at][c]
-                marks[at] = edits if len(entry) >= least + (marks is self.stems) else 0
-        self.edits = edits
+                    self.allowed[at] = max(self.allowed[at], edits)
+                marks[at] = edits
+        self._restart()
+
+    def _restart(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.at_end: list[int] = []
         self.begun: list[int] = []
-        self.start = self._state(frozenset({(0, 0)}))
+        self.start = self._state({(0, 0, "")})
 
-    def _state(self, members: frozenset) -> int:
+    def _state(self, reached: set[tuple[int, int, str]]) -> int:
+        # Letters of a term may also be missing in the word.
+        todo = list(reached)
+        while todo:
+            node, made, owed = todo.pop()
+            for child in () if owed else self.children[node].values():
+                if made < self.allowed[child] and (child, made + 1, "") not in reached:
+                    reached.add((child, made + 1, ""))
+                    todo.append((child, made + 1, ""))
+        fewest: dict[tuple[int, str], int] = {}
+        for node, made, owed in reached:
+            fewest[node, owed] = min(made, fewest.get((node, owed), made))
+        members = frozenset((node, made, owed) for (node, owed), made in fewest.items())
         number = self.numbers.get(members)
         if number is None:
             number = self.numbers[members] = len(self.sets)
             self.sets.append(members)
             self.steps.append({})
-            kind = lambda marks: min((EXACT if e == 0 else CLOSE for n, e in members if e <= marks.get(n, -1)), default=NONE)
+            kind = lambda marks: min((EXACT if e == 0 else CLOSE for n, e, owed in members if not owed and e <= marks.get(n, -1)), default=NONE)
             self.at_end.append(kind(self.ends))
             self.begun.append(kind(self.stems))
         return number
 
     def _step(self, state: int, letter: str) -> int:
         reached = set()
-        todo = list(self.sets[state])
-        while todo:
-            node, made = todo.pop()
+        for node, made, owed in self.sets[state]:
+            if owed:
+                if owed == letter:
+                    reached.add((node, made, ""))
+                continue
+            more = made + 1
             for c, child in self.children[node].items():
                 if c == letter:
-                    reached.add((child, made))
-                if made < self.edits and node:
-                    if c != letter:
-                        reached.add((child, made + 1))
-                    todo.append((child, made + 1))  # the term's letter is missing in the word
-            if made < self.edits and node:
-                reached.add((node, made + 1))  # the word's letter is one too many
-        # Letters of a term may also be missing at the word's end.
-        for node, made in list(reached):
-            if made < self.edits:
-                reached.update((child, made + 1) for child in self.children[node].values())
-        fewest: dict[int, int] = {}
-        for node, made in reached:
-            fewest[node] = min(made, fewest.get(node, made))
-        return self._state(frozenset(fewest.items()))
+                    reached.add((child, made, ""))
+                    continue
+                if more <= self.allowed[child]:
+                    reached.add((child, more, ""))
+                after = self.children[child].get(letter)
+                if after is not None and more <= self.allowed[after]:
+                    reached.add((after, more, c))
+            if more <= self.allowed[node]:
+                reached.add((node, more, ""))  # the word's letter is one too many
+        return self._state(reached)
 
     def match(self, word: str) -> int:
+        if len(self.sets) > self.most:
+            self._restart()
         state, best = self.start, NONE
         for c in word:
             steps = self.steps[state]
@@ -130,6 +161,29 @@ class LexiconAutomaton:
         return self.at_end[state] if self.at_end[state] == EXACT else best or self.at_end[state]
 
 
+def quotations(words: list[str]) -> list[tuple[int, int]]:
+    """(first word, last word) of each quotation: from an opening mark, one before a word's
+    letters, to the next closing one, one behind them. A mark alone opens or closes."""
+    found, opened = [], None
+    for i, w in enumerate(words):
+        if QUOTES.isdisjoint(w):
+            continue
+        letters = [k for k, c in enumerate(w) if c.isalnum()]
+        if not letters:
+            if opened is None:
+                opened = i
+            else:
+                found.append((opened, i))
+                opened = None
+            continue
+        if not QUOTES.isdisjoint(w[: letters[0]]):
+            opened = i
+        if opened is not None and not QUOTES.isdisjoint(w[letters[-1] + 1 :]):
+            found.append((opened, i))
+            opened = None
+    return found
+
+
 @dataclass
 class Model:
     """A lexicon, the words let pass, and the curve over the weighted hits."""
@@ -137,6 +191,7 @@ class Model:
     terms: list[str] = field(default_factory=list)
     stems: list[str] = field(default_factory=list)
     passed: frozenset[str] = frozenset()
+    exact: frozenset[str] = frozenset()
     slope: float = 0.0
     level: float = -2.0
     window: int = 8
@@ -147,7 +202,7 @@ class Model:
 class Scorer:
     def __init__(self, model: Model, memo: int = 200_000):
         self.model = model
-        self.automaton = LexiconAutomaton(model.terms, model.stems)
+        self.automaton = LexiconAutomaton(model.terms, model.stems, model.exact)
         self.memo = Memo(memo)
 
     def kind(self, word: str) -> int:
@@ -156,27 +211,34 @@ class Scorer:
         kind = self.automaton.match(core) if core else NONE
         return NONE if kind == CLOSE and core in self.model.passed else kind
 
-    def quoted(self, words: list[str], at: int) -> bool:
-        """Whether the words around a hit mention it rather than use it."""
-        before, after = words[max(0, at - self.model.window) : at], words[at + 1 : at + 1 + self.model.window]
-        opened = any(w[:1] in QUOTES for w in before) or words[at][:1] in QUOTES
-        closed = any(QUOTES & set(w[-3:]) for w in after) or bool(QUOTES & set(words[at][1:][-3:]))
-        said = any(bare(w) in SAYING for w in before) or any(bare(w) in SAYING for w in after)
-        return (opened and closed) or ((opened or closed) and said)
+    def kinds(self, words: list[str]) -> np.ndarray:
+        """The kinds of distinct words."""
+        for w in self.memo.missing(words):
+            self.memo[w] = self.kind(w)
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.int8, count=len(words))
+
+    def mentioned(self, words: list[str], at: int, spans: list[tuple[int, int]]) -> bool:
+        """Whether the word ``at`` is quoted rather than used."""
+        reach = self.model.window
+        for first, last in spans:
+            if first <= at <= last:
+                near = words[max(0, first - reach) : first] + words[last + 1 : last + 1 + reach]
+                return (at - first <= reach and last - at <= reach) or any(bare(w) in SAYING for w in near)
+        return False
 
     def evidence(self, words: list[str], kinds: np.ndarray) -> float:
         """The weighted hits of a text; ``kinds`` by word."""
-        total = 0.0
+        total, spans = 0.0, quotations(words)
         for at in np.flatnonzero(kinds).tolist():
             weight = 1.0 if kinds[at] == EXACT else self.model.close_weight
-            total += weight * (self.model.quoted_weight if self.quoted(words, at) else 1.0)
+            total += weight * (self.model.quoted_weight if self.mentioned(words, at, spans) else 1.0)
         return total
 
     def evidences(self, texts: pa.Array) -> np.ndarray:
         """The weighted hits of each text."""
         lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
         offsets, index, words = distinct_words(lists)
-        each = np.fromiter(map(self.kind, words.to_pylist()), dtype=np.int8, count=len(words))
+        each = self.kinds(words.to_pylist())
         kinds = each[index] if len(words) else np.zeros(0, dtype=np.int8)
         hits = np.concatenate(([0], np.cumsum(kinds > 0)))
         out = np.zeros(len(lists))
@@ -221,10 +283,10 @@ class Bag:
         return 1 / times[inverse.ravel()]
 
 
-def learn_lexicon(bag: Bag, toxic: np.ndarray, least: float = 3, share: float = 0.02, ratio: float = 20, chance: float = 0.01, longest: int = 12, most: int = 2000) -> tuple[list[str], list[str]]:
+def learn_lexicon(bag: Bag, toxic: np.ndarray, least: float = 3, share: float = 0.02, ratio: float = 20, chance: float = 0.01, longest: int = 12) -> tuple[list[str], list[str]]:
     """(terms, stems) from labelled documents.
 
-    An entry must be in ``least`` toxic documents and a ``share`` of them, ``ratio``
+    An entry (a word, or a beginning of four to ``longest`` letters) must be in ``least`` toxic documents and a ``share`` of them, ``ratio``
     times as common there as elsewhere, and beyond chance for the number of entries
     tried. Copies of a document count as one between them.
     """
@@ -261,7 +323,7 @@ def learn_lexicon(bag: Bag, toxic: np.ndarray, least: float = 3, share: float =
     # A stem that one of the terms makes up the better part of is that term.
     stems = [s for s in stems if not any(t.startswith(s) and far[t + "$"] >= 0.5 * far[s] for t in terms)]
     by = lambda e: (-far.get(e + "$", far.get(e, 0)), e)
-    return sorted(terms, key=by)[:most], sorted(stems, key=by)[:most]
+    return sorted(terms, key=by), sorted(stems, key=by)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -285,15 +347,18 @@ def fit_model(texts: pa.Array, toxic: np.ndarray) -> Model:
     terms, stems = learn_lexicon(bag, toxic)
     if not terms and not stems:
         return Model()
-    near = Scorer(Model(terms, stems))
-    clean = np.unique(bag.word[~toxic[bag.doc]])
-    passed = frozenset(w for w in bag.words.take(pa.array(clean)).to_pylist() if near.automaton.match(w) == CLOSE)
-    model = Model(terms, stems, passed)
+    clean = bag.words.take(pa.array(np.unique(bag.word[~toxic[bag.doc]]))).to_pylist()
+    short = LexiconAutomaton([t for t in terms if len(t) == 4], [])
+    close = [w for w in clean if short.match(w) == CLOSE]
+    exact = frozenset(t for t in terms if len(t) == 4 and any(LexiconAutomaton([t], []).match(w) == CLOSE for w in close))
+    near = LexiconAutomaton(terms, stems, exact)
+    passed = frozenset(w for w in clean if near.match(w) == CLOSE)
+    model = Model(terms, stems, passed, exact)
     x = Scorer(model).evidences(texts)
     slope, level = fit_curve(x, toxic.astype(float))
     if slope <= 0:
         return Model()
-    return Model(terms, stems, passed, slope, min(level, -1e-9))
+    return Model(terms, stems, passed, exact, slope, min(level, -1e-9))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean: int = 3000, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -313,7 +378,7 @@ def _scorer(key: tuple) -> Scorer:
 def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row. No shuffle."""
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    key = (tuple(model.terms), tuple(model.stems), model.passed, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
+    key = (tuple(model.terms), tuple(model.stems), model.passed, model.exact, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key)
@@ -335,7 +400,5 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
             keep = scorer.score(scorer.evidences(batch.column(text))) < 0.5
             yield batch.filter(pa.array(keep))
 
-    key = (tuple(model.terms), tuple(model.stems), model.passed, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
+    key = (tuple(model.terms), tuple(model.stems), model.passed, model.exact, model.slope, model.level, model.window, model.quoted_weight, model.close_weight)
     return bounded_batches(docs).mapInArrow(run, schema)
-
-

@@ -184,32 +184,91 @@ def test_similar_texts_leave_one(spark):
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def test_automaton_against_edit_distance():
-    terms, rng = ["idiot", "scum", "moronic", "abcabc"], random.Random(2)
-    automaton = toxicity.LexiconAutomaton(terms, [])
-    words = ["".join(rng.choice("abcidotsumrn") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    """Edit distance with swaps of neighbours that nothing else touches."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def expected_kind(word, terms, stems, exact=()):
+    close = False
     for t in terms:
+        n = edits(t, word)
+        if n == 0:
+            return toxicity.EXACT
+        close |= n <= (0 if t in exact else toxicity.edits_for(t))
+    for t in stems:
+        n = min(edits(t, word[:k]) for k in range(len(word) + 1))
+        if n == 0:
+            return toxicity.EXACT
+        close |= n <= toxicity.edits_for(t, stem=True)
+    return toxicity.CLOSE if close else toxicity.NONE
+
+
+def near_words(entries, rng, many):
+    words = ["".join(rng.choice("abcidotsumrn") for _ in range(rng.randrange(1, 9))) for _ in range(many)]
+    for t in entries:
         for _ in range(200):
             w = list(t)
             for _ in range(rng.randrange(3)):
                 at = rng.randrange(len(w))
-                w[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "o"])
+                if rng.random() < 0.3:
+                    w[at : at + 2] = w[at : at + 2][::-1]
+                else:
+                    w[at : at + rng.randrange(2)] = rng.choice(["", "x", "a", "o"])
                 w = w or ["x"]
             words.append("".join(w))
-    for w in words:
-        best = min((edits(t[1:], w[1:]) for t in terms if w[:1] == t[0]), default=9)
-        allowed = any(w[:1] == t[0] and edits(t[1:], w[1:]) <= (1 if len(t) >= 5 else 0) for t in terms)
-        assert automaton.match(w) == (toxicity.EXACT if best == 0 else toxicity.CLOSE if allowed else toxicity.NONE), w
-    stems = toxicity.LexiconAutomaton([], ["lostra"])
-    assert [stems.match(w) for w in ("lostrabc", "lostra", "lostrxbc", "mostrabc", "los")] == [1, 1, 2, 0, 0]
+    return words
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_automaton_against_edit_distance(most):
+    terms, stems, rng = ["idiot", "scum", "moronic", "abcabc", "mud", "ratsbane", "dumb"], ["lostra", "vequ"], random.Random(2)
+    automaton = toxicity.LexiconAutomaton(terms, stems, frozenset({"dumb"}), most)
+    for w in near_words([*terms, *(s + "ado" for s in stems)], rng, 2000):
+        assert automaton.match(w) == expected_kind(w, terms, stems, {"dumb"}), w
+    assert [automaton.match(w) for w in ("xidiot", "ldiot", "idoit", "diot", "sucm", "muds", "lostrxbc", "osltra")] == [2, 2, 2, 2, 2, 0, 2, 0]
+
+
+def test_score_against_a_plain_recount():
+    """Words matched by edit distance, quotations paired by hand, one text at a time."""
+    model = toxicity.Model(["idiot", "scum"], ["lostra"], frozenset({"idiom"}), frozenset({"scum"}), 2.0, -1.0)
+    scorer, rng = toxicity.Scorer(model, memo=20), random.Random(4)
+    pool = ["idiot", "Idiot!", "idiom", "scum", "scam", "lostrabu", "lstrax", "plain", "thing", "said", "he", "and", '"', '"she', 'went"', '"quiet"', "„ja", "nein“."]
+    for _ in range(400):
+        words = [rng.choice(pool) for _ in range(rng.randrange(0, 30))]
+        spans, opened = [], None
+        for i, w in enumerate(words):
+            if w == '"' and opened is not None:
+                spans.append((opened, i))
+                opened = None
+            elif w[0] in '"„':
+                opened = i
+            if len(w) > 1 and w[-1 - w.endswith(".")] in '"“' and opened is not None:
+                spans.append((opened, i))
+                opened = None
+        total = 0.0
+        for i, w in enumerate(words):
+            core = w.lower().strip('"„“!.')
+            kind = expected_kind(core, model.terms, model.stems, model.exact) if core else 0
+            if kind == toxicity.NONE or (kind == toxicity.CLOSE and core == "idiom"):
+                continue
+            span = next(((a, b) for a, b in spans if a <= i <= b), None)
+            mention = span and ((i - span[0] <= 8 and span[1] - i <= 8) or "said" in words[max(0, span[0] - 8) : span[0]] + words[span[1] + 1 : span[1] + 9])
+            total += (1.0 if kind == toxicity.EXACT else 0.6) * (0.2 if mention else 1.0)
+        text = " ".join(words)
+        assert scorer.evidences(pa.array([text]))[0] == pytest.approx(total), text
+        assert scorer.score(np.array([total]))[0] == pytest.approx(1 / (1 + (1 + total) ** -2 * np.e))
+
+
+def test_abuse_between_quotations_is_no_mention():
+    scorer = toxicity.Scorer(toxicity.Model(["idiot"], []))
+    texts = ['He said "hello" once . You are an idiot and she said "bye" then', 'He said "you idiot" once', '"' + "a " * 20 + "idiot" + " b" * 20 + '"', 'she said "' + "a " * 20 + "idiot" + " b" * 20 + '"', 'no end: "you idiot']
+    assert scorer.evidences(pa.array(texts)).tolist() == [1.0, 0.2, 1.0, 0.2, 1.0]
 
 
 def toxic_corpus(n, seed):
@@ -239,7 +298,7 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_quotation_and_misspelling():
-    model = toxicity.Model(["stupidly"], [], frozenset({"stupidle"}), 10.0, -6.0)
+    model = toxicity.Model(["stupidly"], [], frozenset({"stupidle"}), frozenset(), 10.0, -6.0)
     scorer = toxicity.Scorer(model)
     texts = ["you act stupidly again", 'he said “you act stupidly” yesterday', "you act stupidlly here", "a stupidle thing", "", None, "nothing here"]
     plain, quoted, misspelt, passed, *none = scorer.evidences(pa.array(texts)).tolist()
