@@ -72,20 +72,24 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "
 
 
 #: Bands of rows of a MinHash signature: sets 0.8 alike share no band with a chance of
-#: (1 - 0.8 ** 4) ** 32, 5 in 10**8; more alike ones with less.
-BANDS, ROWS = 32, 4
-_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+#: (1 - 0.8 ** 8) ** 64, 8 in 10**6; more alike ones with less, and sets 0.5 alike share one
+#: with a chance of 0.2, so that few others are looked at.
+BANDS, ROWS = 64, 8
+_TIMES = np.random.default_rng(42).integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = np.random.default_rng(43).integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each band of the MinHash signature of a set of hashes (none if it is empty)."""
     if not len(shingles):
         return np.zeros(0, dtype=np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        mixed = shingles[None, at : at + 2048] * _MIX[0] + _MIX[1]
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(high), 2048):
+        mixed = high[None, at : at + 2048] * _TIMES
+        mixed += _PLUS
         np.minimum(least, mixed.min(axis=1), out=least)
-    rows = least.reshape(BANDS, ROWS)
+    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         key = (key ^ rows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -177,11 +181,30 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+#: The nodes wanted of a large table are sent to all tasks as a bitmap of 2 ** MAP_BITS bits, 8 MB whatever their number.
+MAP_BITS = 26
+
+
+def wanted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The distinct rows ``node, shingles`` of ``sets`` whose node is among ``nodes``.
+
+    Sets are large, so those of other nodes are left out before the shuffle, but for the few
+    (or, with very many nodes, more) whose place in a bitmap of all wanted ones is taken too.
+    """
+    place = F.pmod("node", F.lit(1 << MAP_BITS))
+    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    maps = nodes.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    held = sets.where("shingles is not null").select("node", "shingles").withColumn("_bucket", bucket)
+    octet = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    taken = octet.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
+    likely = held.join(F.broadcast(maps), "_bucket").where(taken).select("node", "shingles")
+    return likely.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``u, v`` whose ``shingles`` have this Jaccard similarity or more, counted exactly."""
-    met = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = sets.where("shingles is not null").select("node", "shingles").join(met, "node").groupBy("node").agg(F.min("shingles").alias("shingles"))
-    own = stored(own, "shingles")
+    met = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "met")
+    own = stored(wanted(sets, met), "shingles")
     a, b = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
@@ -195,7 +218,8 @@ def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     of each, and at the first one that they share enough shingles must be left behind it in both.
     So what is peculiar to a text keeps it from all that it isn't close to, in the join itself.
     """
-    own = stored(open_.join(sets.where("shingles is not null").select("node", "shingles"), "node").groupBy("node", "root").agg(F.min("shingles").alias("shingles")), "open")
+    open_ = stored(open_, "open")
+    own = stored(wanted(sets, open_.select("node")).join(open_, "node"), "sets")
     each = own.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
