@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 def newest(versions: DataFrame, *first: str) -> DataFrame:
     """``key, seq, value`` of the version with the highest seq of each key, tombstones
-    included. Of equal seqs the one smallest in the columns ``first`` wins (with none
-    given, equal seqs are taken to be the same version)."""
+    included. Of equal seqs the one smallest in the columns ``first`` wins: an arrival number, or
+    a source's rank. Without one, equal seqs must be the same version, as in a table's own segments."""
     if not first:
         best = F.max(F.struct("seq", "value"))
         return versions.groupBy("key").agg(best.alias("_v")).select("key", "_v.seq", "_v.value")

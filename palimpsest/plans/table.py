@@ -7,6 +7,13 @@ The folder holds ``log/`` (framed records, a new file for each commit),
 creating the next number, which fails if another writer did so first; whatever no
 manifest names is invisible. Sequence numbers are given out on the driver.
 
+Log and manifest files are written beside their place, forced to disk if ``durable``, and
+renamed, so a crash leaves the old state or the new one. Should a file be torn all the
+same (a file system whose renames aren't atomic), it is set aside when the table is
+opened: a log file counts as far as its records are whole, a manifest that can't be read
+was never published. Segments that a compaction has replaced stay for readers that
+are at work, until :meth:`KvTable.vacuum` finds them old enough.
+
 Writes gather in the driver's buffer, which is bounded by the flush threshold, and
 each is first a log file if ``durable``. Bulk appends write a segment directly and
 never pass through the driver.
@@ -15,17 +22,19 @@ never pass through the driver.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.model import CHANGE_LOG, DEFAULT_FLUSH_BYTES, DEFAULT_L0_TRIGGER, MAX_SEQ, SEGMENT, Conflict, Corrupt, KvError, check_key, check_value, validated
+from palimpsest.functions.model import CHANGE_LOG, DEFAULT_FLUSH_BYTES, DEFAULT_L0_TRIGGER, MAX_SEQ, SEGMENT, Corrupt, KvError, check_key, check_value, validated
 from palimpsest.operators import lww, read
-from palimpsest.shared import shared_folder
+from palimpsest.shared import delete, file_system, shared_folder
 from palimpsest.shipping import ship
 from palimpsest.sources import manifest_text, wal
+from palimpsest.sources.files import put_file
 from palimpsest.sources.sst import read_segments
 
 
@@ -63,47 +72,56 @@ class KvTable:
 
     # Files, through the file system that Spark uses for the path.
 
-    def _fs(self, path: str):  # noqa: ANN202
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+    def _files(self, folder: str) -> dict[str, float]:
+        """Names, without those of unfinished files, and when each was last changed (seconds)."""
+        fs, target = file_system(self.spark, f"{self.path}/{folder}")
+        found = fs.listStatus(target) if fs.exists(target) else []
+        return {n: s.getModificationTime() / 1000 for s in found if not (n := s.getPath().getName()).startswith(".")}
 
     def _names(self, folder: str) -> list[str]:
-        fs, target = self._fs(f"{self.path}/{folder}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+        return sorted(self._files(folder))
 
     def _delete(self, name: str) -> None:
-        fs, target = self._fs(f"{self.path}/{name}")
-        fs.delete(target, True)
+        delete(self.spark, f"{self.path}/{name}")
+
+    def _set_aside(self, name: str) -> None:
+        """Renames a torn file, so that its name is free and its bytes stay."""
+        fs, target = file_system(self.spark, f"{self.path}/{name}")
+        fs.rename(target, file_system(self.spark, f"{self.path}/{name}.{uuid.uuid4().hex}.torn")[1])
 
     def _load(self) -> State:
-        names = [n for n in self._names("manifest") if n.endswith(".json")]
-        if not names:
-            return State()
-        raw = json.loads(self.spark.read.text(f"{self.path}/manifest/{names[-1]}", wholetext=True).first()[0])
-        present = set(self._names("segments"))
-        segments = [Segment(**s) for s in raw.pop("segments")]
-        if missing := [s.name for s in segments if s.name not in present]:
-            raise Corrupt(f"segments that the manifest names are missing: {missing}")
-        return State(segments=segments, **raw)
+        for name in reversed([n for n in self._names("manifest") if n.endswith(".json")]):
+            text = "\n".join(r[0] for r in self.spark.read.text(f"{self.path}/manifest/{name}").collect())
+            try:
+                raw = json.loads(text)
+                segments = [Segment(**s) for s in raw.pop("segments")]
+                state = State(segments=segments, **raw)
+            except (ValueError, KeyError, TypeError):
+                self._set_aside(f"manifest/{name}")  # cut off while written: never published
+                continue
+            present = set(self._names("segments"))
+            if missing := [s.name for s in segments if s.name not in present]:
+                raise Corrupt(f"segments that the manifest names are missing: {missing}")
+            return state
+        return State()
 
     def _publish(self, segments: list[Segment], flushed_seq: int, last_batch: int | None = None) -> None:
         new = State(self.state.version + 1, segments, self._seq, flushed_seq, self.state.last_batch if last_batch is None else last_batch)
-        try:
-            wal.put_file(self.spark, f"{self.path}/manifest/{new.version:020d}.json", json.dumps(asdict(new)).encode())
-        except Exception as error:
-            if "AlreadyExists" in str(error):
-                raise Conflict(f"another writer published version {new.version}") from error
-            raise
+        put_file(self.spark, f"{self.path}/manifest/{new.version:020d}.json", json.dumps(asdict(new)).encode(), self.durable)
         self.state = new
 
     def _replay(self) -> None:
-        """Log files past the flushed seq refill the buffer."""
-        names = [n for n in self._names("log") if n.endswith(".wal") and int(n.split(".")[0]) > self.state.flushed_seq]
-        if names:
-            rows = wal.read_log(self.spark, f"{self.path}/log").where(F.col("seq") > self.state.flushed_seq)
-            for r in sorted(rows.toLocalIterator(), key=lambda r: r["seq"]):
-                self._apply(int(r["seq"]), bytes(r["key"]), None if r["value"] is None else bytes(r["value"]))
-                self._seq = max(self._seq, int(r["seq"]))
+        """Log files past the flushed seq refill the buffer. One without a whole record is set aside."""
+        names = {n for n in self._names("log") if n.endswith(".wal") and int(n.split(".")[0]) > self.state.flushed_seq}
+        if not names:
+            return
+        rows = wal.read_log(self.spark, f"{self.path}/log/*.wal").where(F.col("seq") > self.state.flushed_seq)
+        for r in sorted(rows.toLocalIterator(), key=lambda r: r["seq"]):
+            names.discard(r["file"].rsplit("/", 1)[1])
+            self._apply(int(r["seq"]), bytes(r["key"]), None if r["value"] is None else bytes(r["value"]))
+            self._seq = max(self._seq, int(r["seq"]))
+        for n in names:
+            self._set_aside(f"log/{n}")
 
     # Writes.
 
@@ -119,7 +137,7 @@ class KvTable:
             raise KvError("sequence numbers are used up")
         seq = self._seq + 1
         if self.durable:
-            wal.put_file(self.spark, f"{self.path}/log/{seq:020d}.wal", wal.encode_record(seq, key, value))
+            put_file(self.spark, f"{self.path}/log/{seq:020d}.wal", wal.encode_record(seq, key, value), sync=True)
         self._seq = seq
         self._apply(seq, key, value)
         if self._size >= self.flush_threshold:
@@ -142,6 +160,7 @@ class KvTable:
         numbered = with_seqs(validated(rows, "_by0" if order else None), tuple(f"_by{i}" for i in range(len(order))), self._seq)
         staged = f"{self.path}/segments/staged-{uuid.uuid4().hex}"
         numbered.select("key", "seq", "value").write.parquet(staged)
+        delete(self.spark, numbered.stored_at)
         rows = self.spark.read.schema(SEGMENT).parquet(staged)
         n = rows.count()
         if n:
@@ -192,32 +211,33 @@ class KvTable:
         merged = lww.compacted(lww.newest(self._segments()), self._tail(), self.gc)
         made = self._write_segment(merged, 1)
         self._publish([made] if made else [], self.state.flushed_seq)
-        for s in old:
-            self._delete(f"segments/{s.name}")
 
-    def vacuum(self) -> list[str]:
-        """Deletes segment folders that no manifest names; their names. For when no writer is at work."""
+    def vacuum(self, older_than: float = 3600.0) -> list[str]:
+        """Deletes segment folders that no manifest names and that haven't changed for so many seconds
+        (as long as a reader or a writer of a segment may take); their names."""
         known = {s.name for s in self.state.segments}
-        gone = [n for n in self._names("segments") if n not in known]
+        now = time.time()
+        gone = sorted(n for n, changed in self._files("segments").items() if n not in known and now - changed >= older_than)
         for n in gone:
             self._delete(f"segments/{n}")
         return gone
 
     def import_segments(self, folder: str) -> int:
         """Adds the versions of foreign segment files as one segment; how many keys. The files are
-        those that a text manifest in the folder names (all must exist), else all of them. Which
-        version of a key counts is told by its seq, not by the order of files."""
-        entries = manifest_text.read_manifest(self.spark, f"{folder}/MANIFEST")
-        rows = read_segments(self.spark, folder)
-        if entries:
-            fs, target = self._fs(folder)
-            present = {s.getPath().getName() for s in fs.listStatus(target)}
-            if missing := [n for _, n in entries if n not in present]:
-                raise Corrupt(f"segments that the manifest names are missing: {missing}")
-            rows = rows.where(F.element_at(F.split("file", "/"), -1).isin([n for _, n in entries]))
-        rows = rows.select("key", F.col("seq").cast("long").alias("seq"), "value")
+        those that a text manifest in the folder names (all must exist), else all of them, newest
+        name first. Which version of a key counts is told by its seq; of equal seqs the first in
+        that order, and one that the table holds already before any of these."""
+        entries = [n for _, n in manifest_text.read_manifest(self.spark, f"{folder}/MANIFEST")]
+        fs, target = file_system(self.spark, folder)
+        present = {s.getPath().getName() for s in fs.listStatus(target)}
+        if missing := [n for n in entries if n not in present]:
+            raise Corrupt(f"segments that the manifest names are missing: {missing}")
+        names = entries or sorted((n for n in present if n.endswith(".sst")), reverse=True)
+        ranks = self.spark.createDataFrame(list(enumerate(names)), "source_rank int, name string")  # a row a file
+        rows = read_segments(self.spark, folder).withColumn("name", F.element_at(F.split("file", "/"), -1))
+        rows = rows.join(F.broadcast(ranks), "name").select("key", F.col("seq").cast("long").alias("seq"), "value", "source_rank")
         self.flush()
-        made = self._write_segment(lww.newest(rows), 0)
+        made = self._write_segment(lww.newest(rows, "source_rank").join(self._segments().select("key", "seq"), ["key", "seq"], "left_anti"), 0)
         if not made:
             return 0
         self._seq = max(self._seq, made.max_seq)
@@ -265,6 +285,11 @@ class KvTable:
     def l1_count(self) -> int:
         return sum(s.level == 1 for s in self.state.segments)
 
+    @property
+    def expected_entries(self) -> int:
+        """How many rows a merge of all segments has at most: what the manifest counts."""
+        return sum(s.n_entries for s in self.state.segments)
+
     @property
     def segment_count(self) -> int:
         return len(self.state.segments)
@@ -291,8 +316,12 @@ class KvTable:
 
 def with_seqs(rows: DataFrame, order: tuple[str, ...], start: int) -> DataFrame:
     """``rows`` with ``seq`` = ``start`` + 1, + 2, .. in the order of the columns: a range sort,
-    a count for each of its partitions, and numbers within them. No task sees all rows."""
-    placed = rows.repartitionByRange(*(order or ("key",))).withColumn("_part", F.spark_partition_id())
+    a count for each of its partitions, and numbers within them. No task sees all rows. Rows that
+    are equal in ``order`` follow each other by key and then by a hash of the whole row, so they
+    are dealt out too and have the same numbers each time."""
+    by = [*order, "key", "_tie"]
+    tied = rows.withColumn("_tie", F.xxhash64(*rows.columns))
+    placed = tied.repartitionByRange(*by).withColumn("_part", F.spark_partition_id())
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/palimpsest-seq-{uuid.uuid4().hex}"
     placed.write.parquet(path)
@@ -302,6 +331,8 @@ def with_seqs(rows: DataFrame, order: tuple[str, ...], start: int) -> DataFrame:
         firsts.append((r["_part"], before))
         before += r["count"]
     first = F.broadcast(spark.createDataFrame(firsts, "_part int, _before bigint"))  # a row a partition
-    own = Window.partitionBy("_part").orderBy(*(order or ("key",)))
+    own = Window.partitionBy("_part").orderBy(*by)
     numbered = placed.join(first, "_part").withColumn("seq", F.col("_before") + F.row_number().over(own))
-    return numbered.drop("_part", "_before")
+    numbered = numbered.drop("_part", "_before", "_tie")
+    numbered.stored_at = path
+    return numbered

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.model import Corrupt
+from palimpsest.sources.files import replace_file
 
 Entry = tuple[int, str]
 
@@ -61,13 +62,4 @@ def read_manifest(spark: SparkSession, path: str) -> list[Entry]:
 
 def write_manifest(spark: SparkSession, path: str, entries: Iterable[Entry]) -> None:
     """Replaces a manifest file: a new one is written beside it and renamed onto it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target, beside = hadoop.Path(path), hadoop.Path(f"{path}.tmp")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(beside, True)
-    out.write(bytearray(render(entries).encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"{path} could not be replaced")
+    replace_file(spark, path, render(entries).encode())

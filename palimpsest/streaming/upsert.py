@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 from palimpsest.plans.table import KvTable
 from palimpsest.shipping import ship
+from palimpsest.sources.wal import read_log_stream
 
 STATE = "seq bigint, value binary"
 CURRENT = "key binary, seq bigint, value binary"
@@ -24,6 +26,11 @@ def read_changes(spark: SparkSession, path: str, schema: StructType | str, most_
     return reader.parquet(path)
 
 
+def read_log_changes(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
+    """The same from framed log files as they appear."""
+    return read_log_stream(spark, path, most_files).select(F.col("seq").cast("long").alias("seq"), "key", "value")
+
+
 def flush_batches(changes: DataFrame, table: KvTable, checkpoint: str, order: tuple[str, ...] = ("seq",)) -> StreamingQuery:
     """Each micro-batch becomes a segment of ``table``: ``key, value`` rows in the order of
     ``order``. A batch that was published before a failure is not written again."""
@@ -71,3 +78,8 @@ def upsert_state(changes: DataFrame) -> DataFrame:
 def fold_batches(spark: SparkSession, path: str, schema: StructType | str, table: KvTable, checkpoint: str) -> None:
     """Reads whatever a folder of change files has and flushes it; returns when done."""
     flush_batches(read_changes(spark, path, schema), table, checkpoint).awaitTermination()
+
+
+def fold_log(spark: SparkSession, path: str, table: KvTable, checkpoint: str) -> None:
+    """The same for a folder of framed log files."""
+    flush_batches(read_log_changes(spark, path), table, checkpoint).awaitTermination()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from decimal import Decimal
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import scalar
 from palimpsest.functions.bloom import BloomFilter
 from palimpsest.functions.model import Corrupt
-from palimpsest.sources import manifest_text, sst, wal
+from palimpsest.sources import files, manifest_text, sst, wal
 
 RECORDS = [(1, b"k", b"v1"), (2, b"k2", b""), (3, b"k", None), (2**64 - 1, b"\x00\xff\x80", b"\xde\xad\xbe\xef"), (0, b"", b"x")]
 
@@ -89,7 +90,7 @@ ROWS = [(b"a", 1, b"apple"), (b"b", 2, b"banana"), (b"c", 3, b""), (b"d", 4, Non
 @pytest.mark.parametrize("version", [1, 2, 3])
 def test_segments_of_every_version(version):
     data = sst.encode(ROWS, version)
-    footer = sst.read_footer(data)
+    footer = sst.read_footer(files.Source(io.BytesIO(data)))
     assert (footer.version, footer.max_seq) == (version, 4 if version == 3 else None)
     assert list(sst.decode(data)) == ROWS
     assert list(sst.decode(data, b"d")) == [ROWS[3]] and list(sst.decode(data, b"zz")) == []
