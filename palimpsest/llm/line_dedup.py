@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stored, unused
+from palimpsest.llm.common import forget, stored, unused
 
 #: From so many characters on, a line ends at a comma too.
 LONG = 60
@@ -63,7 +63,8 @@ def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def later_windows(found: DataFrame) -> DataFrame:
-    """``_id, _row, _starts``: sorted positions of the windows that repeat an earlier one."""
+    """``_id, _row, _starts``: sorted positions of the windows that repeat an earlier one, stored."""
+    found = stored(found, "windows")
     place = F.struct("_id", "_pos", "_row")
     ends = found.groupBy("_hash").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_n"))
     first = stored(ends.where(~F.col("_first").eqNullSafe(F.col("_last"))).select("_hash", "_first", "_n"), "repeats")
@@ -72,7 +73,9 @@ def later_windows(found: DataFrame) -> DataFrame:
     hot = F.broadcast(first.where(F.col("_n") * HOT > total))
     cold = found.join(hot, "_hash", "left_anti").join(first.where(F.col("_n") * HOT <= total), "_hash")
     later = cold.unionByName(found.join(hot, "_hash")).where(~place.eqNullSafe(F.col("_first")))
-    return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_starts"))
+    later = stored(later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_starts")), "later")
+    forget(found, first)
+    return later
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "n_removed") -> DataFrame:
@@ -80,8 +83,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     lines cut (replacing a column of that name). Only texts with cuts are split again."""
     own = unused(docs, "__cut")
     names = {c: f"{own}_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept")}
-    later = later_windows(stored(windows(docs, doc_id, text), "windows"))
-    later = later.select(F.col("_id").alias(names["id"]), F.col("_row").alias(names["row"]), F.col("_starts").alias(names["starts"]))
+    later = later_windows(windows(docs, doc_id, text)).select(F.col("_id").alias(names["id"]), F.col("_row").alias(names["row"]), F.col("_starts").alias(names["starts"]))
     met = docs.withColumn(names["hash"], F.hash(text))
     met = met.join(later, F.col(doc_id).eqNullSafe(F.col(names["id"])) & (F.col(names["hash"]) == F.col(names["row"])), "left")
     starts = F.col(names["starts"])

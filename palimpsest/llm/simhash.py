@@ -97,31 +97,46 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-def shingle_sets(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``node`` (a hash of the set of shingles), ``shingles`` (the set, sorted) and
-    ``keys`` (of its bands), as signed longs. No shuffle. A task gives a set once: the last two are
-    null in rows whose set it has given before, so that a node has a set for each task at most."""
+def _node(shingles: np.ndarray) -> int:
     import xxhash
 
+    return xxhash.xxh64_intdigest(shingles.tobytes())
+
+
+def _longs(arrays: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([None if x is None else x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
+
+
+def shingle_keys(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``node`` (a hash of the set of shingles) and ``keys`` (of its bands), as signed longs.
+    No shuffle. A task gives a set's keys once: they are null in rows whose set it has had
+    before, so that a group of copies has them once a task."""
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = Memo(1_000_000)
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, size, seed)) for t in batch.column("text").to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+            nodes = [_node(s) for s in sets]
             new = set(given.missing(nodes))
             first = [n in new and not new.discard(n) for n in nodes]
             given.update(dict.fromkeys(nodes))
-            longs = pa.list_(pa.int64())
-            columns = [
-                batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
-                pa.array([s.view(np.int64) if f else None for s, f in zip(sets, first, strict=True)], longs),
-                pa.array([band_keys(s).view(np.int64) if f else None for s, f in zip(sets, first, strict=True)], longs),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "shingles", "keys"])
+            keys = _longs([band_keys(s) if f else None for s, f in zip(sets, first, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), keys], ["doc_id", "node", "keys"])
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("shingles", ArrayType(LongType())).add("keys", ArrayType(LongType())))
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("keys", ArrayType(LongType())))
+
+
+def shingle_sets(docs: DataFrame, size: int = 5, seed: int = 42, text: str = "text") -> DataFrame:
+    """``node`` and ``shingles`` (the set, sorted) of every row."""
+    rows = bounded_batches(docs).select(F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, size, seed)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)), _longs(sets)], ["node", "shingles"])
+
+    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
 def _halves(fp: Column) -> list[Column]:
@@ -181,37 +196,46 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: The nodes wanted of a large table are sent to all tasks as a bitmap of 2 ** MAP_BITS bits, 8 MB whatever their number.
+#: Ids wanted of a large table are sent to all tasks as a bitmap of 2 ** MAP_BITS bits, 8 MB whatever their number.
 MAP_BITS = 26
 
 
-def wanted(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct rows ``node, shingles`` of ``sets`` whose node is among ``nodes``.
+class Sets:
+    """The shingle sets of some documents, made anew where they are wanted: few documents share a key
+    with another one, so this reads their texts again rather than store the sets of all."""
 
-    Sets are large, so those of other nodes are left out before the shuffle, but for the few
-    (or, with very many nodes, more) whose place in a bitmap of all wanted ones is taken too.
-    """
-    place = F.pmod("node", F.lit(1 << MAP_BITS))
-    bucket, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
-    maps = nodes.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_map"))
-    held = sets.where("shingles is not null").select("node", "shingles").withColumn("_bucket", bucket)
-    octet = F.conv(F.hex(F.substring("_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    taken = octet.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0
-    likely = held.join(F.broadcast(maps), "_bucket").where(taken).select("node", "shingles")
-    return likely.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` whose ``shingles`` have this Jaccard similarity or more, counted exactly."""
+    def __init__(self, docs: DataFrame, least: DataFrame, size: int, doc_id: str, text: str):
+        """``least``: ``node`` and ``least``, an id that has it."""
+        self.docs, self.least, self.size, self.doc_id, self.text = docs, least, size, doc_id, text
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """``node, shingles`` of the ``nodes``; only documents whose id's place in a bitmap is taken by one
+        that has a wanted node are read, and none is shuffled but these."""
+        tmp = unused(self.docs, "__in")
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
+        ids = nodes.join(self.least, "node").select(place(F.col("least")).alias("at"))
+        maps = ids.groupBy(F.bitmap_bucket_number("at").alias(f"{tmp}_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(f"{tmp}_map"))
+        held = self.docs.withColumn(f"{tmp}_bucket", F.bitmap_bucket_number(place(F.col(self.doc_id)))).join(F.broadcast(maps), f"{tmp}_bucket")
+        bit = F.bitmap_bit_position(place(F.col(self.doc_id)))
+        octet = F.conv(F.hex(F.substring(f"{tmp}_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        likely = held.where(octet.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
+        made = shingle_sets(likely, self.size, text=self.text)
+        return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+
+
+def alike(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose ``shingles`` have this Jaccard similarity or more, counted exactly; stored."""
     met = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "met")
-    own = stored(wanted(sets, met), "shingles")
+    own = stored(sets.of(met), "shingles")
     a, b = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v")
+    found = stored(pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "links")
+    forget(met, own)
+    return found
 
 
-def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``u < v`` of nodes with different roots that may be ``similarity`` alike, none that are left out.
+def within_reach(open_: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """Pairs ``u < v`` of nodes with different roots that may be ``similarity`` alike, none of them left out; stored.
 
     ``open_`` has ``node, root``. A node's shingles are ordered by how many of these nodes have them,
     the rarest first. Two sets so alike share a shingle among the first ``n - similarity * n + 1``
@@ -219,7 +243,7 @@ def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     So what is peculiar to a text keeps it from all that it isn't close to, in the join itself.
     """
     open_ = stored(open_, "open")
-    own = stored(wanted(sets, open_.select("node")).join(open_, "node"), "sets")
+    own = stored(sets.of(open_.select("node")).join(open_, "node"), "sets")
     each = own.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
@@ -232,26 +256,31 @@ def within_reach(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
     near = near & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9)
     near = near & (F.least("left_a", "left_b") >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    return a.join(b, (a["s"] == b["s"]) & near).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    found = stored(a.join(b, (a["s"] == b["s"]) & near).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct(), "near")
+    forget(open_, own, held)
+    return found
 
 
-def similar_components(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, root`` of the linked nodes: those that share a band's key and are alike.
+def similar_components(keyed: DataFrame, sets: Sets, similarity: float) -> DataFrame:
+    """``node, root`` of the linked nodes of ``keyed`` (``node, keys``): those that share a key and are alike.
 
     Each node is first held against the smallest one of each of its keys, which costs a pair a
     node and key however large a group of near copies is. Nodes that then still share a key
     with one of another component are held against what is :func:`within_reach` among them.
     """
-    held = nodes.select("node", F.explode("keys").alias("key"))
+    held = keyed.select("node", F.explode("keys").alias("key"))
     ends = held.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
-    shared = stored(held.join(ends.select("key", "u"), "key"), "shared")
+    shared = stored(held.join(ends.select("key", "u"), "key").distinct(), "shared")
     first = stored(shared.where("node > u").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    found = stored(alike(first, sets, similarity), "links")
+    found = alike(first, sets, similarity)
     roots = components(found).select("node", "root")
     rooted = stored(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    forget(shared)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    rest = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity).join(first, ["u", "v"], "left_anti")
-    return components(found.union(alike(stored(rest, "pairs"), sets, similarity)))
+    near = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity)
+    more = alike(near.join(first, ["u", "v"], "left_anti"), sets, similarity)
+    forget(rooted, near, first)
+    return components(found.union(more))
 
 
 def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,10 +291,12 @@ def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_i
     of bits tells 0.8 from 0.75. So candidates come from the shingles (bands of a
     MinHash signature), and each is verified on the sets themselves.
     """
-    sets = stored(shingle_sets(docs, size, doc_id=doc_id, text=text), "sets")
-    nodes = stored(sets.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys")), "nodes")
-    found = similar_components(nodes, sets, similarity)
-    return sets.select("doc_id", "node").join(_named(nodes.select("node", "least"), found), "node").select("doc_id", "component_id")
+    keyed = stored(shingle_keys(docs, size, doc_id=doc_id, text=text), "keys")
+    least = stored(keyed.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    found = similar_components(keyed, Sets(docs, least, size, doc_id, text), similarity)
+    done = stored(keyed.select("doc_id", "node").join(_named(least, found), "node").select("doc_id", "component_id"), "groups")
+    forget(keyed, least)
+    return done
 
 
 def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
