@@ -1,35 +1,38 @@
 """Last writer wins: from versions to the newest version of each key.
 
-Everything here is one aggregation by key with map-side partial results, so a key
-with any number of versions shuffles one row a task. Filters on the key put above
-it reach the scans below; the filter on tombstones must stay above it.
+Everything here is the first row of a window by key, which Spark cuts to one row a key in
+each task before the shuffle and again behind it, so a key with any number of versions
+shuffles one row a task. Filters on the key put above it reach the scans below; the
+filter on tombstones must stay above it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.shared import unused
+
+
+def first_of_each(rows: DataFrame, by: tuple[str, ...], order: list[Column]) -> DataFrame:
+    """The first row in ``order`` of each ``by``."""
+    rank = unused(rows, "_rank")
+    return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) == 1).drop(rank)
+
 
 def newest(versions: DataFrame, *first: str) -> DataFrame:
     """``key, seq, value`` of the version with the highest seq of each key, tombstones
     included. Of equal seqs the one smallest in the columns ``first`` wins: an arrival number, or
     a source's rank. Without one, equal seqs must be the same version, as in a table's own segments."""
-    if not first:
-        best = F.max(F.struct("seq", "value"))
-        return versions.groupBy("key").agg(best.alias("_v")).select("key", "_v.seq", "_v.value")
-    # Ascending within descending: the negative of each tie-break.
-    ranks = [(-F.col(c)).alias(f"_{c}") for c in first]
-    best = F.max(F.struct("seq", *ranks, "value"))
-    return versions.groupBy("key").agg(best.alias("_v")).select("key", "_v.seq", "_v.value")
+    order = [F.desc("seq"), *(F.asc(c) for c in first)]
+    return first_of_each(versions.select("key", "seq", "value", *first), ("key",), order).select("key", "seq", "value")
 
 
 def first_match(versions: DataFrame, rank: str = "source_rank") -> DataFrame:
     """``key, seq, value`` from the lowest-ranked source that has the key, whatever its seq."""
-    best = F.min(F.struct(F.col(rank).alias("_rank"), (-F.col("seq")).alias("_seq"), "value"))
-    return versions.groupBy("key").agg(best.alias("_v")).select("key", (-F.col("_v._seq")).alias("seq"), "_v.value")
+    return first_of_each(versions.select("key", "seq", "value", rank), ("key",), [F.asc(rank), F.desc("seq")]).select("key", "seq", "value")
 
 
 def live(current: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import model, scalar
 from palimpsest.operators import lww, read, stats
 from palimpsest.plans.table import KvTable, with_seqs
-from palimpsest.shell import Shell, parsed
+from palimpsest.shell import parsed
 from palimpsest.shared import shared_folder
 from palimpsest.shipping import ship
 from palimpsest.sources import sst, wal
@@ -49,8 +49,7 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments(log: DataFrame) -> DataFrame:
     """One version a key and epoch, as flushes at epoch ends would leave."""
-    best = F.max(F.struct("seq", "value"))
-    return log.groupBy("epoch", "key").agg(best.alias("v")).select("epoch", "key", "v.seq", "v.value")
+    return lww.first_of_each(log, ("epoch", "key"), [F.desc("seq")]).select("epoch", "key", "seq", "value")
 
 
 def _new_path(spark: SparkSession, tag: str) -> str:
@@ -219,12 +218,15 @@ def kv_first_match_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lww.first_match(segments(change_log(spark, sf_dir)).withColumn("source_rank", -F.col("epoch")))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS differences")
+@query(
+    f"""WITH {_L}, {_SEG}, {_NOW}, first AS (SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY epoch DESC) AS rn FROM seg) WHERE rn = 1)
+SELECT count(*) FILTER (WHERE a.key IS NULL OR b.key IS NULL OR a.seq <> b.seq OR a.value IS DISTINCT FROM b.value) AS differences, count(*) AS keys FROM first a FULL JOIN cur b ON a.key = b.key"""
+)
 def kv_get_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys for which the first match and the highest seq differ: none while ranks follow seqs."""
     held = segments(change_log(spark, sf_dir)).withColumn("source_rank", -F.col("epoch"))
-    a, b = lww.first_match(held), lww.newest(held)
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    met = lww.first_match(held).unionByName(lww.newest(held)).groupBy("key", "seq", "value").agg(F.count("*").alias("n"))
+    return met.groupBy("key").agg(F.min("n").alias("n")).agg(F.count_if(F.col("n") < 2).alias("differences"), F.count("*").alias("keys"))
 
 
 @query(f"WITH {_L}, {_O}, both_ AS (SELECT key, seq, value, 0 AS r FROM L UNION ALL SELECT replace(key, 'cust', 'user'), seq, value, 1 FROM O) SELECT key, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, r) AS rn FROM both_) WHERE rn = 1")
@@ -278,7 +280,14 @@ def kv_fnv_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("key", scalar.fnv1a(F.col("key")).cast("string").alias("h1"), scalar.fnv1a(F.col("key"), scalar.FNV_BASIS_2).cast("string").alias("h2"))
 
 
-@query()
+_HASHED = f"SELECT tag, id, CAST({_fnv_sql(scalar.FNV_BASIS_1)} AS UHUGEINT) AS h1, CAST({_fnv_sql(scalar.FNV_BASIS_2)} AS UHUGEINT) AS h2 FROM (SELECT tag, id, tag || CAST(id AS VARCHAR) AS key FROM (VALUES ('in:'), ('out:')) AS a(tag), range(10000) AS b(id))"
+
+
+@query(
+    f"""WITH hashed AS ({_HASHED}), bits AS (SELECT tag, id, unnest(list_transform(range(7), lambda i: CAST(((h1 + CAST(i AS UHUGEINT) * h2) % CAST({scalar.TWO_64} AS UHUGEINT)) % CAST(95851 AS UHUGEINT) AS BIGINT))) AS bit FROM hashed),
+held AS (SELECT DISTINCT bit FROM bits WHERE tag = 'in:'), asked AS (SELECT id, bool_and(bit IN (SELECT bit FROM held)) AS maybe FROM bits WHERE tag = 'out:' GROUP BY id)
+SELECT count(*) AS asked, count(*) FILTER (WHERE maybe) AS false_positives FROM asked"""
+)
 def kv_bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10,000 keys in, 10,000 others asked: how many of these seem to be there."""
     bits, hashes = 95_851, 7
@@ -290,7 +299,25 @@ def kv_bloom_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.agg(F.count("*").alias("asked"), F.count_if("maybe").alias("false_positives"))
 
 
-@query()
+def _le_sql(number: str, width: int) -> str:
+    return f"list_transform(range({width}), lambda i: (CAST({number} AS BIGINT) >> (8 * i)) & 255)"
+
+
+def _octets_sql(text: str) -> str:
+    return f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS BIGINT))"
+
+
+def _crc_sql(octets: str) -> str:
+    """CRC-32 of a list of octets, bit by bit."""
+    octet = "list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda b, _: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, x: {octet}), 4294967295)"
+
+
+_SEGMENT_BODY = f"list_concat({_le_sql('length(key)', 4)}, {_octets_sql('key')}, {_le_sql('seq', 8)}, CASE WHEN value IS NULL THEN [0] ELSE list_concat([1], {_le_sql('length(value)', 4)}, {_octets_sql('value')}) END)"
+_LOG_BODY = f"list_concat({_le_sql('seq', 8)}, [CASE WHEN value IS NULL THEN 1 ELSE 0 END], {_le_sql('length(key)', 4)}, {_octets_sql('key')}, CASE WHEN value IS NULL THEN [] ELSE list_concat({_le_sql('length(value)', 4)}, {_octets_sql('value')}) END)"
+
+
+@query(f"WITH {_L}, {_NOW} SELECT key, seq, CAST({_crc_sql(_SEGMENT_BODY)} AS BIGINT) AS segment_crc32, CAST({_crc_sql(_LOG_BODY)} AS BIGINT) AS log_crc32 FROM cur")
 def kv_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checksum of each current version's segment record and log record, assembled in SQL."""
     now = lww.newest(change_log(spark, sf_dir))
@@ -329,25 +356,18 @@ def kv_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seq", key.alias("key"), "value").withColumn("valid", model.is_valid())
 
 
-@query(
-    f"""WITH {_L}, top AS (SELECT max(epoch) AS e FROM L), mem AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM L WHERE epoch = (SELECT e FROM top)) WHERE rn = 1)
-SELECT (SELECT max(seq) FROM L) AS seq, CAST(1048576 AS BIGINT) AS flush_threshold, true AS wal_sync, 'log' AS wal_path, 'segments' AS sst_dir,
-  CAST((SELECT sum(strlen(key) + coalesce(strlen(value), 0)) FROM mem) AS BIGINT) AS memtable_size, (SELECT count(*) FROM mem) AS memtable_entries,
-  CAST((SELECT e FROM top) % 4 AS INTEGER) AS l0_sstable_count, CAST(CASE WHEN (SELECT e FROM top) >= 4 THEN 1 ELSE 0 END AS INTEGER) AS l1_sstable_count, CAST(4 AS INTEGER) AS l0_compaction_trigger"""
-)
-def kv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten facts of a table whose epochs but the last were flushed, at the default settings."""
-    log = change_log(spark, sf_dir)
-    top, seq = log.agg(F.max("epoch"), F.max("seq")).first()
-    l0, l1 = stats.level_layout(F.lit(int(top)), F.lit(model.DEFAULT_L0_TRIGGER))
-    held = stats.approx_size(log.where(F.col("epoch") == top))
-    return held.select(
-        F.lit(seq).cast("long").alias("seq"), F.lit(model.DEFAULT_FLUSH_BYTES).cast("long").alias("flush_threshold"), F.lit(True).alias("wal_sync"), F.lit("log").alias("wal_path"), F.lit("segments").alias("sst_dir"),
-        F.col("approx_size").alias("memtable_size"), F.col("entries").alias("memtable_entries"), l0.alias("l0_sstable_count"), l1.alias("l1_sstable_count"), F.lit(model.DEFAULT_L0_TRIGGER).alias("l0_compaction_trigger"),
-    )
+_SIZE = "(a.held + CASE WHEN x.before > a.since THEN x.v - x.had ELSE x.k + x.v END)"
 
 
-@query()
+@query(
+    f"""WITH {_L}, sized AS (
+  SELECT seq, strlen(key) AS k, coalesce(strlen(value), 0) AS v, coalesce(lag(seq) OVER w, -1) AS before, coalesce(lag(coalesce(strlen(value), 0)) OVER w, 0) AS had FROM L WINDOW w AS (PARTITION BY key ORDER BY seq)),
+steps AS (SELECT list(struct_pack(seq := seq, k := k, v := v, before := before, had := had, since := CAST(-1 AS BIGINT), held := CAST(0 AS BIGINT), sizes := CAST([] AS BIGINT[])) ORDER BY seq) AS l FROM sized),
+fold AS (SELECT list_reduce(list_prepend(struct_pack(seq := CAST(0 AS BIGINT), k := CAST(0 AS BIGINT), v := CAST(0 AS BIGINT), before := CAST(-1 AS BIGINT), had := CAST(0 AS BIGINT), since := CAST(-1 AS BIGINT), held := CAST(0 AS BIGINT), sizes := CAST([] AS BIGINT[])), l),
+  lambda a, x: struct_pack(seq := x.seq, k := x.k, v := x.v, before := x.before, had := x.had,
+    since := CASE WHEN {_SIZE} >= 1024 THEN x.seq ELSE a.since END, held := CASE WHEN {_SIZE} >= 1024 THEN 0 ELSE {_SIZE} END, sizes := list_append(a.sizes, {_SIZE}))).sizes AS sizes, l FROM steps)
+SELECT s.seq AS seq, size AS memtable_size, size >= 1024 AS flush FROM (SELECT unnest(l) AS s, unnest(sizes) AS size FROM fold)"""
+)
 def kv_flush_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where flushes at 1,024 bytes fall, and the memtable's size after each record."""
     return stats.flush_points(change_log(spark, sf_dir), 1024)
@@ -372,14 +392,6 @@ def kv_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(lines).select("line_no", "verb", F.get("args", F.lit(0)).alias("key"), "rest")
 
 
-@query()
-def kv_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the shell prints for a script, on a table of its own."""
-    with KvTable(spark, _new_path(spark, "shell")) as table:
-        said = list(Shell(table).run_all(_COMMANDS))
-    return spark.createDataFrame(list(enumerate(said)), "line_no int, line string")
-
-
 @query(f"WITH {_L}, {_NOW} SELECT key, value FROM cur WHERE value IS NOT NULL")
 def kv_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log appended to a table in three batches, compacted, and scanned from its segments."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 
@@ -35,3 +35,10 @@ def delete(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, if it exists."""
     fs, target = file_system(spark, path)
     fs.delete(target, True)
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """``stem``, with underscores before it until no column of ``df`` begins so."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem = f"_{stem}"
+    return stem

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import io
 import struct
+import time
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -204,23 +205,23 @@ def read_segments(spark: SparkSession, path: str, key: bytes | None = None) -> D
 
 def write_segments(rows: DataFrame, path: str, version: int = 3) -> list[str]:
     """Writes ``key, seq, value`` rows (each key once) as segment files over disjoint key
-    ranges, one a partition, each by its task; their names (which sort by the highest seq)."""
+    ranges, one a partition, each by its task; their names: the highest seq, then a number that
+    tells calls and partitions apart."""
     ship(rows.sparkSession)
     writable_by_tasks(path)
     binary = rows.select(F.col("key").cast("binary").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("value").cast("binary").alias("value"))
     placed = binary.repartitionByRange("key").sortWithinPartitions("key")
+    call = int(time.time() * 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         triples = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "seq", "value")), strict=True))
         first = next(triples, None)
         if first is None:
             return
-        part = TaskContext.get().partitionId()
-        # Its name tells the highest seq, which is known at the end.
-        with created(path, lambda: f"sst-{top:020d}-{part}.sst") as out:
+        name = lambda: f"sst-{top:020d}-{call}{TaskContext.get().partitionId():06d}.sst"  # noqa: E731  the highest seq is known at the end
+        with created(path, name) as out:
             top = write_segment(out, chain((first,), triples), version)
-        name = f"sst-{top:020d}-{part}.sst"
-        yield pa.RecordBatch.from_pydict({"name": [name]})
+        yield pa.RecordBatch.from_pydict({"name": [name()]})
 
     return [r["name"] for r in placed.mapInArrow(run, "name string").collect()]  # a name a partition
 
