@@ -76,13 +76,6 @@ def bucketed(df: DataFrame, tag: str, buckets: int, column: str) -> DataFrame:
     return spark.table(name)
 
 
-def unused(df: DataFrame, stem: str) -> str:
-    """``stem``, with underscores before it until no column of ``df`` begins so."""
-    while any(c.lower().startswith(stem.lower()) for c in df.columns):
-        stem = f"_{stem}"
-    return stem
-
-
 def id_text_crc(doc_id: Column) -> Column:
     """crc32 of an id written as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

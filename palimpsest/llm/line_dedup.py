@@ -33,7 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import forget, stored, unused
+from palimpsest.llm.common import forget, stored
+from palimpsest.shared import unused
 
 #: From so many characters on, a line ends at a comma too.
 LONG = 60

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import Memo, bounded_batches, forget, slices, stored, unused
+from palimpsest.llm.common import Memo, bounded_batches, forget, slices, stored
+from palimpsest.shared import unused
 
 
 def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> np.ndarray:
