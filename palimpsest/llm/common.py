@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.shared import delete, shared_folder
+from palimpsest.shared import delete, shared_folder, unused
 from palimpsest.shipping import ship
 
 
@@ -76,6 +76,30 @@ def bucketed(df: DataFrame, tag: str, buckets: int, column: str) -> DataFrame:
     return spark.table(name)
 
 
+#: A set of hashes is sent to all tasks as a bitmap of 2 ** MAP_BITS bits: 8 MB, whatever their number.
+MAP_BITS = 26
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """The places of the long column of ``hashes`` in a bitmap, a row for each 4 KB of it that has one."""
+    place = F.pmod(F.col(hashes.columns[0]), F.lit(1 << MAP_BITS))
+    return hashes.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
+
+
+def with_mark(df: DataFrame, hashed: Column, maps: DataFrame, mark: str) -> DataFrame:
+    """``df`` with a boolean ``mark``: true where the place of ``hashed`` is taken, so for all rows whose
+    hash was among those of the :func:`bitmap`, and few others while these are well below its
+    size (with more of them the mark leaves less out, but nothing wrong). No shuffle."""
+    tmp = unused(df, "__map")
+    place = F.pmod(hashed, F.lit(1 << MAP_BITS))
+    held = F.broadcast(maps.select(F.col("bucket").alias(f"{tmp}_bucket"), F.col("map").alias(f"{tmp}_map")))
+    bit = F.bitmap_bit_position(place)
+    octet = F.conv(F.hex(F.substring(f"{tmp}_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    taken = F.coalesce(octet.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0, F.lit(False))
+    met = df.join(held, F.bitmap_bucket_number(place) == F.col(f"{tmp}_bucket"), "left")
+    return met.withColumn(mark, taken).drop(f"{tmp}_bucket", f"{tmp}_map")
+
+
 def id_text_crc(doc_id: Column) -> Column:
     """crc32 of an id written as text; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

@@ -17,8 +17,8 @@ stays, since what covers it would have to begin earlier still.
 Windows are compared by a 64-bit hash of the lines' 64-bit hashes.
 
 Window rows (hash, id, position) are written to the shared folder once, so texts
-are split once, and shuffled twice, once pre-aggregated; documents are shuffled
-once, to meet the positions to cut. A window that a third of all documents share is
+are split once, and shuffled twice, once pre-aggregated; documents with something to
+cut are shuffled once, to meet the positions. A window that a third of all documents share is
 one row a task after pre-aggregation, and its rows meet the first one by broadcast.
 
 Defined results: a null text stays null and has no lines; an empty text has no
@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import forget, stored
+from palimpsest.llm.common import bitmap, forget, stored, with_mark
 from palimpsest.shared import unused
 
 #: From so many characters on, a line ends at a comma too.
@@ -83,10 +83,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     """``docs`` with repeated windows cut from ``text``, plus ``removed``, the number of
     lines cut (replacing a column of that name). Only texts with cuts are split again."""
     own = unused(docs, "__cut")
-    names = {c: f"{own}_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept")}
+    names = {c: f"{own}_{c}" for c in ("id", "row", "starts", "hash", "lines", "kept", "mark")}
     later = later_windows(windows(docs, doc_id, text)).select(F.col("_id").alias(names["id"]), F.col("_row").alias(names["row"]), F.col("_starts").alias(names["starts"]))
-    met = docs.withColumn(names["hash"], F.hash(text))
-    met = met.join(later, F.col(doc_id).eqNullSafe(F.col(names["id"])) & (F.col(names["hash"]) == F.col(names["row"])), "left")
+    # Only documents that may have something to cut are shuffled to meet it.
+    maps = bitmap(later.select(F.xxhash64(names["id"], names["row"])))
+    marked = with_mark(docs.withColumn(names["hash"], F.hash(text)), F.xxhash64(doc_id, names["hash"]), maps, names["mark"])
+    whole = marked.where(~F.col(names["mark"])).withColumn(removed, F.lit(0).cast("long")).drop(names["hash"], names["mark"])
+    met = marked.where(names["mark"])
+    met = met.join(later.hint("merge"), F.col(doc_id).eqNullSafe(F.col(names["id"])) & (F.col(names["hash"]) == F.col(names["row"])), "left")
     starts = F.col(names["starts"])
     met = met.withColumn(names["lines"], F.when(starts.isNotNull(), lines(F.col(text))))
     # Between the end of one cut window and the start of the next, lines stay.
@@ -98,7 +102,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
         text: F.when(F.col(names["kept"]).isNull(), F.col(text)).otherwise(F.array_join(names["kept"], "")),
         removed: F.coalesce(F.size(names["lines"]) - F.size(names["kept"]), F.lit(0)).cast("long"),
     }
-    return met.withColumns(out).drop(*names.values())
+    return met.withColumns(out).drop(*names.values()).unionByName(whole)
 
 
 #: The same over the whole table in DuckDB, comparing the lines themselves.

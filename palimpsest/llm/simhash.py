@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from palimpsest.llm.common import Memo, bounded_batches, forget, slices, stored
+from palimpsest.llm.common import Memo, bitmap, bounded_batches, forget, slices, stored, with_mark
 from palimpsest.shared import unused
 
 
@@ -197,10 +197,6 @@ def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Ids wanted of a large table are sent to all tasks as a bitmap of 2 ** MAP_BITS bits, 8 MB whatever their number.
-MAP_BITS = 26
-
-
 class Sets:
     """The shingle sets of some documents, made anew where they are wanted: few documents share a key
     with another one, so this reads their texts again rather than store the sets of all."""
@@ -212,16 +208,11 @@ class Sets:
     def of(self, nodes: DataFrame) -> DataFrame:
         """``node, shingles`` of the ``nodes``; only documents whose id's place in a bitmap is taken by one
         that has a wanted node are read, and none is shuffled but these."""
-        tmp = unused(self.docs, "__in")
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MAP_BITS))
-        ids = nodes.join(self.least, "node").select(place(F.col("least")).alias("at"))
-        maps = ids.groupBy(F.bitmap_bucket_number("at").alias(f"{tmp}_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(f"{tmp}_map"))
-        held = self.docs.withColumn(f"{tmp}_bucket", F.bitmap_bucket_number(place(F.col(self.doc_id)))).join(F.broadcast(maps), f"{tmp}_bucket")
-        bit = F.bitmap_bit_position(place(F.col(self.doc_id)))
-        octet = F.conv(F.hex(F.substring(f"{tmp}_map", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        likely = held.where(octet.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
-        made = shingle_sets(likely, self.size, text=self.text)
-        return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+        mark = unused(self.docs, "__in")
+        ids = nodes.join(self.least, "node").select(F.xxhash64("least").alias("at"))
+        read = with_mark(self.docs, F.xxhash64(self.doc_id), bitmap(ids), mark).where(mark)
+        made = shingle_sets(read, self.size, text=self.text)
+        return made.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
 
 def alike(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
@@ -230,7 +221,8 @@ def alike(pairs: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     own = stored(sets.of(met), "shingles")
     a, b = (own.select(F.col("node").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
     both = F.size(F.array_intersect("a", "b"))
-    found = stored(pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "links")
+    # Merge joins at every size: what they shuffle is a few arrays a pair.
+    found = stored(pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").where(both / (F.size("a") + F.size("b") - both) >= similarity).select("u", "v"), "links")
     forget(met, own)
     return found
 
@@ -244,10 +236,10 @@ def within_reach(open_: DataFrame, sets: Sets, similarity: float) -> DataFrame:
     So what is peculiar to a text keeps it from all that it isn't close to, in the join itself.
     """
     open_ = stored(open_, "open")
-    own = stored(sets.of(open_.select("node")).join(open_, "node"), "sets")
+    own = stored(sets.of(open_.select("node")).join(open_.hint("merge"), "node"), "sets")
     each = own.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(common, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    shared = each.join(common.hint("merge"), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
     rows = own.select("node", "root", F.size("shingles").alias("n")).join(shared, "node")
     alone = F.col("n") - F.size("shared")  # shingles of no other node come first
     prefix = F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1
@@ -271,7 +263,10 @@ def similar_components(keyed: DataFrame, sets: Sets, similarity: float) -> DataF
     """
     held = keyed.select("node", F.explode("keys").alias("key"))
     ends = held.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
-    shared = stored(held.join(ends.select("key", "u"), "key").distinct(), "shared")
+    ends = stored(ends.select("key", "u"), "ends")  # few keys have two nodes, and only theirs are shuffled again
+    held = with_mark(held, F.col("key"), bitmap(ends.select("key")), "_mark").where("_mark").drop("_mark")
+    shared = stored(held.join(ends.hint("merge"), "key").distinct(), "shared")
+    forget(ends)
     first = stored(shared.where("node > u").select("u", F.col("node").alias("v")).distinct(), "pairs")
     found = alike(first, sets, similarity)
     roots = components(found).select("node", "root")
