@@ -1,17 +1,19 @@
 """Packing by first-fit decreasing over a tournament tree of bin capacities.
 
 Documents become token ids with an end id. A document longer than a sequence is
-cut into full sequences and a rest; rests are packed first-fit decreasing. Each
-randomised group of documents (by a hash of the id, about ``group_docs``
-documents each) is packed by itself, so groups run in parallel, and the only
+cut into full sequences and a rest; rests are packed first-fit decreasing. The
+pieces are dealt to randomised groups by a hash of their row's number, so copies, null
+ids and all else that repeats fall into all groups alike. Each group (about ``group_docs``
+documents) is packed by itself, so groups run in parallel, and the only
 loss against packing all at once is one part-filled sequence or so a group.
 
-Only lengths are shuffled: ids are made and cut where the documents are read.
+Only lengths are shuffled: ids are made and cut where the documents are read. The
+narrow rows of lengths are stored first, so that a row's number stays what it is
+when a task is run again.
 
-Defined results: a null or empty text is the end id alone; repeated rows are
-documents of their own (their pieces are told apart by sequence and offset); rows
-with a null id form part of one group; an empty table gives an empty table; other
-columns are ignored.
+Defined results: a null or empty text is the end id alone; repeated rows and rows with
+a null id are documents of their own (their pieces are told apart by sequence and
+offset); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, bounded_batches, distinct_words, ragged, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, ragged, slices, stored
 
 
 class TournamentTree:
@@ -193,10 +195,11 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 40
 def pack(cut: DataFrame, groups: int, capacity: int = 4096, seed: int = 7) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to rows that have ``doc_id``, ``start`` and ``length``.
 
-    Every row moves once, to its group; keep wide columns out of ``cut``.
+    Every row is stored and moves once, to its group; keep wide columns out of ``cut``.
     Sequence ids are the group's number times 2**32 plus the sequence's number in it.
     """
-    grouped = cut.withColumn("_group", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(groups)))
+    numbered = stored(cut.withColumn("_group", F.monotonically_increasing_id()), "pieces")
+    grouped = numbered.withColumn("_group", F.pmod(F.xxhash64("_group", F.lit(seed)), F.lit(groups)))
     schema = cut.schema.add("sequence_id", "long").add("offset", "long")
     names = schema.fieldNames()
 
