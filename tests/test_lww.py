@@ -197,3 +197,10 @@ def test_empty_log(spark):
     df = spark.createDataFrame([], LOG)
     assert rows(read.scan(df)) == [] and stats.max_seq(df).first()[0] == 0
     assert rows(stats.approx_size(df)) == [(0, 0)] and rows(stats.total_log_bytes(df)) == [(0,)]
+
+
+def test_newest_versions_are_cut_to_one_a_key_before_the_shuffle(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id % 10 as string) AS key", "id AS seq", "'v' AS value").write.parquet(str(tmp_path / "log"))
+    plan = lww.newest(spark.read.parquet(str(tmp_path / "log")))._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "WindowGroupLimit" in below and "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1

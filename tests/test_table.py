@@ -235,3 +235,21 @@ def test_keyed_state_ignores_late_rows(spark, tmp_path):
     q.awaitTermination()
     final = {k: (s, v) for batch in got for k, s, v in batch}
     assert final == {b"a": (2, b"2"), b"b": (9, b"back"), b"c": (6, b"x")}
+
+
+def test_the_bloom_filter_skips_row_groups(spark, path):
+    """A key between the smallest and the largest that isn't there: no row leaves the scan."""
+    table = KvTable(spark, path, durable=False)
+    table.append(spark.range(5000).selectExpr("cast(concat('k', lpad(id * 2, 6, '0')) as binary) AS key", "cast('v' as binary) AS value", "id AS at"), "at")
+    for key, rows in ((b"k000123", 0), (b"k000124", 1)):
+        found = table._segments().where(F.col("key") == F.lit(key)).select("seq")
+        assert len(found.collect()) == rows
+        scans, todo = [], [found._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if "FileSourceScan" in node.getClass().getSimpleName():
+                scans.append(node)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        read = sum(int(n.metrics().apply("numOutputRows").value()) for n in scans)
+        assert (read == 0) if rows == 0 else read > 0
+    assert table.get(b"k000124")[1] == b"v" and table.get(b"k000123") is None
