@@ -154,6 +154,8 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     ball = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(32)))
     probes = nodes.select(F.col("fp").alias("u"), F.explode(F.array(*_halves(F.col("fp")))).alias("half"))
     probes = probes.select("u", F.explode(F.transform(ball, lambda m: F.col("half").bitwiseXOR(m))).alias("key"))
+    # Hardly any of a ball's keys is in the table; only those that may be are shuffled.
+    probes = with_mark(probes, F.xxhash64("key"), bitmap(held.select(F.xxhash64("key"))), "_mark").where("_mark").drop("_mark")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= most)
     return probes.join(held, (probes["key"] == held["key"]) & near).select("u", "v").distinct()
 
