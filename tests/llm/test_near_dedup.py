@@ -80,3 +80,26 @@ def test_families_of_texts_around_the_limit(spark):
     found = simhash.group_similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == dict(enumerate(root))
     assert 10 < len(set(root)) < 200
+
+
+def test_components_of_given_documents(spark):
+    """Every pair of sf0.01 that shares a shingle, its true similarity, and the components that follow."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    holders, root = {}, {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        met = {j for s in sets[i] for j in holders.get(s, ())}
+        for j in met:
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    found = simhash.group_similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: find(i) for i in sets}
