@@ -84,6 +84,18 @@ def kv_table_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, s, None if v is None else v.decode()) for k, s, v in found], "key string, seq bigint, value string")
 
 
+@query(f"WITH {_L}, {_NOW} SELECT key, value FROM cur WHERE value IS NOT NULL AND key >= 'user:000020' AND key < 'user:000090'")
+def kv_table_scan_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of the log's keys from a table's segments; the bounds reach their Parquet scans."""
+    table = KvTable(spark, _new_path(spark, "table"), l0_trigger=0)
+    log = change_log(spark, sf_dir).withColumn("key", F.col("key").cast("binary")).withColumn("value", F.col("value").cast("binary"))
+    half = log.agg(F.max("seq")).first()[0] // 2
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        table.append(part, "seq")
+    found = table.scan(b"user:000020", b"user:000090")
+    return found.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 @query(
     f"""WITH {_L}, mem AS (SELECT key, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM L WHERE seq BETWEEN 21 AND 30) WHERE rn = 1)
 SELECT CAST(30 AS BIGINT) AS seq, CAST(1048576 AS BIGINT) AS flush_threshold, true AS wal_sync, 'log' AS wal_path, 'segments' AS sst_dir,

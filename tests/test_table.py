@@ -253,3 +253,13 @@ def test_the_bloom_filter_skips_row_groups(spark, path):
         read = sum(int(n.metrics().apply("numOutputRows").value()) for n in scans)
         assert (read == 0) if rows == 0 else read > 0
     assert table.get(b"k000124")[1] == b"v" and table.get(b"k000123") is None
+
+
+def test_bounds_of_a_scan_reach_the_segments(spark, path):
+    table = KvTable(spark, path, durable=False, l0_trigger=0)
+    for at in (0, 1):
+        table.append(spark.range(2000).selectExpr("cast(concat('k', lpad(id, 6, '0')) as binary) AS key", f"cast('{at}' as binary) AS value", "id AS at"), "at")
+    found = table.scan(b"k000010", b"k000012")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(key), GreaterThanOrEqual(key," in plan and "LessThan(key," in plan
+    assert scan(table, b"k000010", b"k000012") == [(b"k000010", b"1"), (b"k000011", b"1")]
