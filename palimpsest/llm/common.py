@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
@@ -173,6 +175,14 @@ def labelled_texts(docs: DataFrame, sample: DataFrame, doc_id: str, text: str) -
     return found.toArrow().sort_by("id").combine_chunks()
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; allocators keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def one_array(column: pa.ChunkedArray) -> pa.Array:
     """A column of strings as one array."""
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import bounded_batches, labelled_texts, one_array, slices
+from palimpsest.llm.common import bounded_batches, give_back, labelled_texts, one_array, slices
 
 #: The characters that the base rules count as symbols.
 SYMBOLS = "[#*$%&|<>]"
@@ -279,7 +279,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 1000, doc_id: str = "doc
     good = np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1
     if not good.any() or good.all():
         return Chain.all_content()
-    return fit_lines(shapes(one_array(got["text"])), good)
+    chain = fit_lines(shapes(one_array(got["text"])), good)
+    del got
+    give_back()
+    return chain
 
 
 def judge(docs: DataFrame, chain: Chain, least_share: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

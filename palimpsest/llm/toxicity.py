@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Memo, bounded_batches, distinct_words, id_text_crc, labelled_texts, one_array, slices
+from palimpsest.llm.common import Memo, bounded_batches, distinct_words, give_back, id_text_crc, labelled_texts, one_array, slices
 
 NONE, EXACT, CLOSE = 0, 1, 2
 QUOTES = frozenset("\"“”„«»‹›")
@@ -367,7 +367,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, most_clean:
     first = lambda bad, n: marks.where((F.col("toxic") == 1) == F.lit(bad)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = first(True, most_toxic).union(first(False, most_clean)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
     got = labelled_texts(docs, sample, doc_id, text)
-    return fit_model(one_array(got["text"]), np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1)
+    model = fit_model(one_array(got["text"]), np.asarray(got["label"].to_pylist(), dtype=np.int64) == 1)
+    del got
+    give_back()
+    return model
 
 
 @functools.lru_cache(maxsize=4)
