@@ -169,15 +169,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     edges = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u <> v"), "edges")
     state = None
     while True:
+        # What a join meets is a table of its own, so that a node with very many edges can be split in it.
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        down = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "down")
+        low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "low")
         met = down.join(low, "u")
         small = met.select(F.col("u"), F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         last, edges = edges, stored(small, "edges")
-        forget(last)
+        forget(last, least, down, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -275,9 +275,10 @@ def similar_components(keyed: DataFrame, sets: Sets, similarity: float) -> DataF
     rooted = stored(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     forget(shared)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    mixed = stored(mixed, "mixed")  # a table of its own, so that a key with many nodes can be split in the join
     near = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity)
     more = alike(near.join(first, ["u", "v"], "left_anti"), sets, similarity)
-    forget(rooted, near, first)
+    forget(rooted, mixed, near, first)
     return components(found.union(more))
 
 
