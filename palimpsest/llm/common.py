@@ -119,7 +119,7 @@ def bounded_batches(df: DataFrame, most: int = 16 << 20) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that ``column`` has about ``most`` bytes in each
-    (one row at least: a longer text stays whole)."""
+    (one row at least: a longer text stays whole). What was freed meanwhile is given back at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -132,6 +132,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(at, to - at)
             pa.default_memory_pool().release_unused()
             at = to
+    give_back()  # a worker lives on for other tasks
 
 
 def distinct_words(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
