@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -72,6 +72,27 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, doc_id: str = "
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("fp", "long"))
 
 
+#: Fingerprints of a set, each by other bits of its hashes; how many bits apart two may be; the leading
+#: bits that the rows of a window share. Sets 0.8 alike differ in 0.15 of the bits, 9.7 of 64.
+WORDS, APART, LEADING = 32, 10, 12
+_SALT = np.random.default_rng(44).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """``WORDS`` fingerprints of a set of hashes (none if it is empty); the first is :func:`fingerprint`'s."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.uint64)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # as many rows as eight bits can count
+        mixed = shingles[at : at + 255, None] * _SALT[0]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _SALT[1]
+        mixed ^= mixed >> np.uint64(29)
+        mixed[:, 0] = shingles[at : at + 255]
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
+
+
 #: Bands of rows of a MinHash signature: sets 0.8 alike share no band with a chance of
 #: (1 - 0.8 ** 8) ** 64, 8 in 10**6; more alike ones with less, and sets 0.5 alike share one
 #: with a chance of 0.2, so that few others are looked at.
@@ -109,9 +130,9 @@ def _longs(arrays: list[np.ndarray | None]) -> pa.Array:
 
 
 def shingle_keys(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``node`` (a hash of the set of shingles) and ``keys`` (of its bands), as signed longs.
-    No shuffle. A task gives a set's keys once: they are null in rows whose set it has had
-    before, so that a group of copies has them once a task."""
+    """``doc_id``, ``node`` (a hash of the set of shingles), ``prints`` (its fingerprints) and ``keys``
+    (of its bands), as signed longs. No shuffle. A task gives a set's prints and keys once: they are
+    null in rows whose set it has had before, so that a group of copies has them once a task."""
     rows = bounded_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +143,11 @@ def shingle_keys(docs: DataFrame, size: int = 5, seed: int = 42, doc_id: str = "
             new = set(given.missing(nodes))
             first = [n in new and not new.discard(n) for n in nodes]
             given.update(dict.fromkeys(nodes))
-            keys = _longs([band_keys(s) if f else None for s, f in zip(sets, first, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), keys], ["doc_id", "node", "keys"])
+            prints, keys = (_longs([made(s) if f else None for s, f in zip(sets, first, strict=True)]) for made in (wide_fingerprint, band_keys))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), prints, keys], ["doc_id", "node", "prints", "keys"])
 
-    return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("keys", ArrayType(LongType())))
+    longs = ArrayType(LongType())
+    return rows.mapInArrow(run, rows.select("doc_id").schema.add("node", "long").add("prints", longs).add("keys", longs))
 
 
 def shingle_sets(docs: DataFrame, size: int = 5, seed: int = 42, text: str = "text") -> DataFrame:
@@ -160,6 +182,25 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     return probes.join(held, (probes["key"] == held["key"]) & near).select("u", "v").distinct()
 
 
+def near_prints(keyed: DataFrame) -> DataFrame:
+    """Pairs ``u < v`` of nodes (``node, prints``) that have a fingerprint at most ``APART`` bits apart, stored.
+
+    Each half of each fingerprint has a table, sorted by that half and then the other one: a node's
+    neighbour in it is the one that shares most leading bits, however many nodes there are. The whole
+    distance of neighbours is verified. A table costs a row a node, and a large group of near
+    copies a pair a row.
+    """
+    fp = F.col("fp")
+    turned = F.shiftleft(fp, 32).bitwiseOR(F.shiftrightunsigned(fp, 32))
+    words = keyed.select("node", F.posexplode("prints").alias("word", "fp"))
+    seen = words.select("node", "word", F.posexplode(F.array(fp, turned)).alias("half", "bits"))
+    seen = seen.select("node", (2 * F.col("word") + F.col("half")).alias("table"), "bits")
+    order = Window.partitionBy("table", F.shiftrightunsigned("bits", 64 - LEADING)).orderBy("bits", "node")
+    met = seen.select("node", "bits", F.lag("node").over(order).alias("other"), F.lag("bits").over(order).alias("other_bits"))
+    met = met.where((F.col("node") != F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= APART))
+    return stored(met.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct(), "near")
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """``node, root`` for every node of the edges; the root is the component's smallest node.
 
@@ -257,28 +298,38 @@ def within_reach(open_: DataFrame, sets: Sets, similarity: float) -> DataFrame:
 
 
 def similar_components(keyed: DataFrame, sets: Sets, similarity: float) -> DataFrame:
-    """``node, root`` of the linked nodes of ``keyed`` (``node, keys``): those that share a key and are alike.
+    """``node, root`` of the linked nodes of ``keyed`` (``node, prints, keys``): those that are alike.
 
-    Each node is first held against the smallest one of each of its keys, which costs a pair a
-    node and key however large a group of near copies is. Nodes that then still share a key
-    with one of another component are held against what is :func:`within_reach` among them.
+    First the pairs of near fingerprints are verified and linked. Fingerprints can't reach all pairs
+    this alike, so what they have left apart is looked for by the bands' keys: each node is held
+    against the smallest one of each of its keys, which costs a pair a node and key however large a
+    group of near copies is. Nodes that then still share a key with one of another component are
+    held against what is :func:`within_reach` among them.
     """
+    near = near_prints(keyed)
+    found = alike(near, sets, similarity)
+    roots = stored(components(found), "roots")
     held = keyed.select("node", F.explode("keys").alias("key"))
     ends = held.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("_last")).where("u < _last")
     ends = stored(ends.select("key", "u"), "ends")  # few keys have two nodes, and only theirs are shuffled again
     held = with_mark(held, F.col("key"), bitmap(ends.select("key")), "_mark").where("_mark").drop("_mark")
     shared = stored(held.join(ends.hint("merge"), "key").distinct(), "shared")
     forget(ends)
-    first = stored(shared.where("node > u").select("u", F.col("node").alias("v")).distinct(), "pairs")
-    found = alike(first, sets, similarity)
+    first = shared.where("node > u").select("u", F.col("node").alias("v")).distinct()
+    for end in "uv":
+        first = first.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    apart = F.coalesce("_u", "u") != F.coalesce("_v", "v")
+    first = stored(first.where(apart).select("u", "v").join(near, ["u", "v"], "left_anti"), "pairs")
+    found = found.union(alike(first, sets, similarity))
+    forget(roots)
     roots = components(found).select("node", "root")
     rooted = stored(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     forget(shared)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
     mixed = stored(mixed, "mixed")  # a table of its own, so that a key with many nodes can be split in the join
-    near = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity)
-    more = alike(near.join(first, ["u", "v"], "left_anti"), sets, similarity)
-    forget(rooted, mixed, near, first)
+    left = within_reach(rooted.join(mixed, "key").select("node", "root").distinct(), sets, similarity)
+    more = alike(left.join(first.union(near), ["u", "v"], "left_anti"), sets, similarity)
+    forget(rooted, mixed, left, first, near)
     return components(found.union(more))
 
 
@@ -286,9 +337,9 @@ def group_similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, doc_i
     """``doc_id, component_id`` per row, linking texts whose shingle sets are
     ``similarity`` alike (Jaccard) or more.
 
-    SimHash bits of such texts lie further apart than small balls reach, and no number
-    of bits tells 0.8 from 0.75. So candidates come from the shingles (bands of a
-    MinHash signature), and each is verified on the sets themselves.
+    Candidates come from SimHash fingerprints of the sets, then, for pairs whose fingerprints
+    lie too far apart, from bands of a MinHash signature. No number of bits tells 0.8 from 0.75,
+    so each candidate is verified on the sets themselves.
     """
     keyed = stored(shingle_keys(docs, size, doc_id=doc_id, text=text), "keys")
     least = stored(keyed.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")

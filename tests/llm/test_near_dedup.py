@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from palimpsest.llm import simhash
 
 
@@ -103,3 +107,55 @@ def test_components_of_given_documents(spark):
             holders.setdefault(s, []).append(i)
     found = simhash.group_similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: find(i) for i in sets}
+
+
+def spread(spark, seed=30):
+    """60 pairs at 0.85 to 0.97 among 400 other texts: the rows, and their shingles' hashes by id."""
+    pairs = [p for n, kind in enumerate(("append", "replace", "scatter")) for p in pairs_of(kind, seed + n, 0.85, 0.97, many=20)]
+    rng = random.Random(seed)
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    rows += [(120 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 300)))) for i in range(400)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), {i: np.unique(simhash.shingle_hashes(t, 5)) for i, t in rows}
+
+
+def test_fingerprints_are_majorities_of_bits():
+    for many in (1, 2, 255, 256, 1000):
+        hashes = np.random.default_rng(many).integers(0, 1 << 63, many, dtype=np.uint64) * np.uint64(2)
+        made = simhash.wide_fingerprint(hashes)
+        assert len(made) == simhash.WORDS == len(set(made.tolist())) and made[0] == simhash.fingerprint(hashes)[0]
+    assert not len(simhash.wide_fingerprint(hashes[:0]))
+
+
+def test_near_fingerprints(spark):
+    """Nearly all near copies have near fingerprints, and what is found is near by brute force."""
+    docs, sets = spread(spark)
+    node = {simhash._node(s): i for i, s in sets.items()}
+    found = {tuple(sorted(node[x % 2**64] for x in r)) for r in simhash.near_prints(simhash.shingle_keys(docs)).collect()}
+    assert sum((2 * i, 2 * i + 1) in found for i in range(60)) >= 58
+    for a, b in found:
+        bits = simhash.wide_fingerprint(sets[a]) ^ simhash.wide_fingerprint(sets[b])
+        assert min(x.bit_count() for x in bits.tolist()) <= simhash.APART
+
+
+def test_fingerprints_alone_link_near_copies(spark):
+    """Without any band's key the components are those of SimHash, verified."""
+    docs, sets = spread(spark)
+    keyed = simhash.shingle_keys(docs)
+    least = keyed.groupBy("node").agg(F.min("doc_id").alias("least"))
+    bare = keyed.withColumn("keys", F.array().cast("array<bigint>"))
+    node = {simhash._node(s): i for i, s in sets.items()}
+    found = simhash.similar_components(bare, simhash.Sets(docs, least, 5, "doc_id", "text"), 0.8).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r["root"], set()).add(node[r["node"] % 2**64])
+    assert all(min(g) % 2 == 0 and g == {min(g), min(g) + 1} and max(g) < 120 for g in groups.values())
+    assert len(groups) >= 58
+
+
+def test_stage_goes_through_fingerprints(spark, monkeypatch):
+    met = []
+    made = simhash.near_prints
+    monkeypatch.setattr(simhash, "near_prints", lambda keyed: met.append(made(keyed)) or met[-1])
+    docs, _ = spread(spark)
+    left = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    assert len(met) == 1 and not left & set(range(1, 120, 2)) and left >= set(range(0, 120, 2))
