@@ -283,12 +283,13 @@ def rewrite(docs: DataFrame, layout: Layout, path: str | None = None, every: boo
 
 
 def slotted(files: DataFrame) -> DataFrame:
-    """Rows of written shards with ``slot``: 0, 1, .. within a shard, in order of its files and their rows."""
+    """Rows of written shards with ``slot``: 0, 1, .. within a shard, in order of its files and their rows.
+    No row is shuffled: what is sent to all tasks has a row a file, as the driver's listing of them has."""
     meta, tmp = files.metadataColumn("_metadata"), unused(files, "__at")
     rows = files.withColumns({f"{tmp}_file": meta["file_path"], f"{tmp}_row": meta["row_index"]})
     counts = rows.groupBy("shard", f"{tmp}_file").agg(F.count("*").alias(f"{tmp}_n"))
     before = Window.partitionBy("shard").orderBy(f"{tmp}_file").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col(f"{tmp}_file").alias(f"{tmp}_of"), F.coalesce(F.sum(f"{tmp}_n").over(before), F.lit(0)).alias(f"{tmp}_first"))
-    met = rows.join(first, F.col(f"{tmp}_file") == F.col(f"{tmp}_of"))
+    met = rows.join(F.broadcast(first), F.col(f"{tmp}_file") == F.col(f"{tmp}_of"))
     kept = [F.col(f"`{c}`") for c in files.columns if c.lower() != "slot"]
     return met.select(*kept, (F.col(f"{tmp}_first") + F.col(f"{tmp}_row")).cast("long").alias("slot"))

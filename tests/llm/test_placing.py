@@ -99,6 +99,27 @@ def test_even_shards_and_rewritten_files(spark):
     assert files.count() == sum(r["shard"] in affected for r in out)
 
 
+def test_slots_shuffle_no_texts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(500)], "doc_id bigint, text string")
+    files = resharding.rewrite(docs, resharding.plan(docs, shards=4), every=True)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # as for files too large for Spark to broadcast by itself
+    try:
+        out = resharding.slotted(files)
+        shuffled, todo = [], [out._jdf.queryExecution().executedPlan().initialPlan()]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                shuffled.append(node.output().mkString(","))
+        rows = out.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert shuffled and not any("text#" in columns for columns in shuffled)
+    checked(rows, [(i, f"text {i}") for i in range(500)], 4)
+
+
 def test_a_group_that_no_shard_can_hold_is_split_evenly(spark):
     rows = [(i, "all the same") for i in range(3000)] + [(None, "all the same"), (3001, "another")] + [(4000 + i, f"t{i}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
